@@ -1,0 +1 @@
+"""Streaming: the dialect is batch only, so there is no streaming operator to provide."""
