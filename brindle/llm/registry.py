@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate", "simhash", "quality")
+MODULES = ("decontaminate", "simhash", "quality", "pii")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
