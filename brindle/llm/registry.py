@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate", "simhash", "quality", "pii", "substring_dedup", "suffix_dedup")
+MODULES = ("decontaminate", "simhash", "quality", "pii", "substring_dedup", "suffix_dedup", "html_text")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
