@@ -33,11 +33,10 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 #: Name, score (higher is worse), cutoffs to try.
 RULES = {
-    "symbols": ("n_symbols / n_words", (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5)),
-    "repeats": ("n_repeat_words / n_words", (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.45)),
-    "lines": ("n_dup_lines / n_lines", (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6)),
-    "long words": ("word_chars / n_words", (7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0)),
-    "short words": ("-word_chars / n_words", (-4.0, -3.5, -3.0, -2.5, -2.0, -1.5)),
+    "symbols": ("n_symbols / n_words", (0.1, 0.3, 0.5, 1.0, 1.5, 2.0)),
+    "repeats": ("n_repeat_words / n_words", (0.1, 0.2, 0.3, 0.4)),
+    "lines": ("n_dup_lines / n_lines", (0.1, 0.2, 0.3, 0.5)),
+    "long words": ("word_chars / n_words", (8.0, 10.0, 12.0, 15.0, 20.0)),
 }
 
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
