@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate", "simhash", "quality", "pii", "substring_dedup", "suffix_dedup", "html_text")
+MODULES = ("decontaminate", "simhash", "quality", "pii", "substring_dedup", "suffix_dedup", "html_text", "pieces")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
