@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate", "simhash", "quality", "pii", "substring_dedup", "suffix_dedup", "html_text", "pieces", "url_filter")
+MODULES = ("decontaminate", "simhash", "quality", "pii", "substring_dedup", "suffix_dedup", "html_text", "pieces", "url_filter", "licences")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
