@@ -254,7 +254,7 @@ def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
             new = [pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(f.name)) for f in kept), *new], [*(f.name for f in kept), "text", "n_chars"])
 
-    schema = type(pages.schema)(kept).add("text", "string").add("n_chars", "long")
+    schema = type(pages.schema)([*kept]).add("text", "string").add("n_chars", "long")
     return pages.mapInArrow(run, schema)
 
 
