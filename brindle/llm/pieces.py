@@ -307,7 +307,7 @@ def encode(docs: DataFrame, model: str = MODEL, n: int = N_BEST, text: str = "te
                 yield pa.RecordBatch.from_arrays([*(part.column(names.index(f.name)) for f in kept), *out.values()], [*(f.name for f in kept), *out])
                 at = to
 
-    schema = type(docs.schema)(kept)
+    schema = type(docs.schema)([*kept])
     for f in type(docs.schema).fromDDL(OUT):
         schema = schema.add(f)
     return docs.mapInArrow(run, schema)
@@ -323,7 +323,7 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:
             yield batch.append_column("decoded", pa.array(texts, pa.string()))
 
     rows = rows.drop("decoded")
-    return rows.mapInArrow(run, type(rows.schema)(rows.schema.fields).add("decoded", "string"))
+    return rows.mapInArrow(run, type(rows.schema)([*rows.schema.fields]).add("decoded", "string"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
