@@ -1 +1 @@
-"""Functions of the engine."""
+"""Scalar functions on columns, with the dialect's NULL and error rules."""

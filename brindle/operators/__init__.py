@@ -1 +1 @@
-"""Operators of the engine."""
+"""Statements that change tables: every change is a new snapshot."""

@@ -1 +1 @@
-"""Plans of the engine."""
+"""From syntax tree to DataFrame: names and types are bound, predicates rewritten, and the plan is declared."""

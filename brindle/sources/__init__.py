@@ -1 +1 @@
-"""Sources of the engine."""
+"""Tables: the catalog of versioned snapshots, and delimited files."""

@@ -1 +1 @@
-"""Sql of the engine."""
+"""The dialect: tokens, syntax tree, parser and printers."""
