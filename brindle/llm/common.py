@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +42,11 @@ def stored(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of finished steps now: its cleaner waits for the JVM's garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark.range(1).collect()  # the session holds on to its latest plan
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
