@@ -6,7 +6,7 @@ cover positions (modulo v). So sequences of WINDOW - v + 1 words are hashed at c
 windows share an aligned anchor. An anchor that occurs in two documents extends to all windows that contain it; these
 are compared by 128 bits of hash over all their words, and all but those of the smallest id are repeats.
 
-Both exchanges send hashes in packed blobs by bucket. Each task first sorts what it has: of a hash that it sees in
+Hashes travel in packed blobs by bucket, and so do the answers, by a bucket of their documents. Each task first sorts what it has: of a hash that it sees in
 several documents, one record stands for all, so a passage that a third of the documents share costs a record per
 flush of a task, not one per document. Buckets grow in number with the text, not in size. The texts move twice, to meet
 the answers about them; nothing about all documents reaches the driver.
@@ -88,8 +88,8 @@ def windows(h: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 class Sender:
     """Collects (id, hashes, positions) of a task and packs them into blobs by bucket; answers what it can itself."""
 
-    def __init__(self, buckets: int, wide: bool):
-        self.buckets, self.wide, self.parts, self.n = buckets, wide, [], 0
+    def __init__(self, buckets: int, homes: int, wide: bool):
+        self.buckets, self.homes, self.wide, self.parts, self.n = buckets, homes, wide, [], 0
 
     def add(self, doc: int, text: int, a: np.ndarray, b: np.ndarray | None, at: np.ndarray) -> bool:
         if len(a):
@@ -98,7 +98,7 @@ class Sender:
         return self.n >= FLUSH
 
     def flush(self) -> pa.RecordBatch:
-        """Rows (bucket, payload) to send; rows (doc_id, text, at) with bucket -1 that are answered here."""
+        """Rows (bucket, payload) to send; what is answered here has the bucket -1 - home."""
         ids = np.array([(d, t) for d, t, *_ in self.parts], ID)
         counts = [len(p[2]) for p in self.parts]
         owner = np.repeat(np.arange(len(ids)), counts)
@@ -120,7 +120,8 @@ class Sender:
             several = (least != most)[run]
             told, sent = several, ~several | first
             rec["many"] = several
-        return _answers_and_blobs(ids, owner[told], rec["at"][told], _blobs(ids, owner[sent], rec[sent], self.buckets, self.wide))
+        answers = [(-1 - home, x) for home, x in _answers(ids, owner[told], rec["at"][told], self.homes)]
+        return _rows(answers + _blobs(ids, owner[sent], rec[sent], self.buckets, self.wide))
 
 
 def _first(rec: np.ndarray) -> np.ndarray:
@@ -163,34 +164,48 @@ def _unpacked(blob: bytes, wide: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(ids, lengths), rec
 
 
-def _by_document(ids: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """doc_id, text hash and positions, a row per document."""
+def _rows(blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())], ["bucket", "payload"])
+
+
+def _answers(ids: np.ndarray, owner: np.ndarray, at: np.ndarray, homes: int) -> list[tuple[int, bytes]]:
+    """Positions by document, packed by the home of the document."""
     order = np.argsort(owner, kind="stable")
     owner, at = owner[order], at[order]
     new = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, int)
-    rows = ids[owner[new]]
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(at)], pa.int32()), pa.array(at, pa.int32()))
-    return pa.array(rows["doc"]), pa.array(rows["text"].astype(np.int64)), lists
-
-
-def _answers_and_blobs(ids, owner, at, blobs) -> pa.RecordBatch:
-    doc, text, lists = _by_document(ids, owner, at)
-    n, k = len(doc), len(blobs)
-    columns = {
-        "bucket": pa.array([-1] * n + [b for b, _ in blobs], pa.int32()),
-        "payload": pa.array([None] * n + [x for _, x in blobs], pa.binary()),
-        "doc_id": pa.concat_arrays([doc, pa.nulls(k, pa.int64())]),
-        "text_hash": pa.concat_arrays([text, pa.nulls(k, pa.int64())]),
-        "at": pa.concat_arrays([lists, pa.nulls(k, lists.type)]),
-    }
-    return pa.RecordBatch.from_pydict(columns)
+    rows, lengths = ids[owner[new]], np.diff(np.r_[new, len(at)])
+    home = (rows["text"] >> np.uint64(7)) % np.uint64(homes)
+    out = []
+    for h in np.unique(home).tolist():
+        own = np.flatnonzero(home == h)
+        places = np.concatenate([at[new[i] : new[i] + lengths[i]] for i in own.tolist()])
+        head = np.array([len(places), len(own)], "<u4").tobytes()
+        out.append((h, b"".join([head, rows[own].tobytes(), lengths[own].astype("<u4").tobytes(), places.astype("<i4").tobytes()])))
+    return out
 
 
-SENT = "bucket int, payload binary, doc_id bigint, text_hash bigint, at array<int>"
+SENT = "bucket int, payload binary"
 
 
-def _answer(wide: bool):
-    """Of rows (bucket, payload) sorted by bucket: rows (doc_id, text_hash, at) that are repeats."""
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Of rows (bucket, payload) sorted by bucket: each bucket's blobs; a negative bucket's one by one."""
+    now, held = None, []
+    for batch in batches:
+        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if bucket < 0:
+                yield bucket, [blob.as_py()]
+                continue
+            if bucket != now and held:
+                yield now, held
+                held = []
+            now = bucket
+            held.append(blob.as_py())
+    if held:
+        yield now, held
+
+
+def _answer(wide: bool, homes: int):
+    """Of hashes by bucket: the repeats, by their document's home."""
 
     def decided(blobs: list[bytes]) -> pa.RecordBatch:
         parts = [_unpacked(b, wide) for b in blobs]
@@ -207,41 +222,45 @@ def _answer(wide: bool):
             several = (least != np.maximum.reduceat(doc, starts)) | np.logical_or.reduceat(rec["many"], starts)
             told = several[run] & ~rec["many"]
         rows, owner = np.unique(ids[told], return_inverse=True)
-        return pa.RecordBatch.from_arrays(list(_by_document(rows, owner, rec["at"][told])), ["doc_id", "text_hash", "at"])
+        return _rows(_answers(rows, owner, rec["at"][told], homes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if bucket != now and held:
-                    yield decided(held)
-                    held = []
-                now = bucket
-                held.append(blob.as_py())
-        if held:
-            yield decided(held)
+        for bucket, blobs in _by_bucket(batches):
+            yield _rows([(-1 - bucket, blobs[0])]) if bucket < 0 else decided(blobs)
 
     return run
 
 
-def _exchanged(sent: DataFrame, wide: bool) -> DataFrame:
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of answers by home: one row per document."""
+    for _, blobs in _by_bucket(batches):
+        ids, lengths, places = [], [], []
+        for blob in blobs:
+            n, k = map(int, np.frombuffer(blob, "<u4", 2))
+            ids.append(np.frombuffer(blob, ID, k, 8))
+            lengths.append(np.frombuffer(blob, "<u4", k, 8 + 16 * k))
+            places.append(np.frombuffer(blob, "<i4", n, 8 + 20 * k))
+        rows, owner = np.unique(np.repeat(np.concatenate(ids), np.concatenate(lengths)), return_inverse=True)
+        order = np.argsort(owner, kind="stable")
+        starts = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(rows)))]
+        lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate(places)[order], pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(rows["doc"]), pa.array(rows["text"].astype(np.int64)), lists], ["doc_id", "text_hash", "at"])
+
+
+def _exchanged(sent: DataFrame, wide: bool, n: int) -> DataFrame:
     """(doc_id, text_hash, at) per document: all answers, from the tasks themselves and from the buckets."""
-    spark = sent.sparkSession
-    sent = stored(sent)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = sent.where("bucket >= 0").select("bucket", "payload").repartition(n, "bucket").sortWithinPartitions("bucket")
-    answers = asked.mapInArrow(_answer(wide), "doc_id bigint, text_hash bigint, at array<int>")
-    every = answers.unionByName(sent.where("bucket < 0").select("doc_id", "text_hash", "at"))
-    return every.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("at")).alias("at"))
+    answers = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(wide, n), SENT)
+    return answers.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "doc_id bigint, text_hash bigint, at array<int>")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, at) of documents with repeated windows, at their first words. docs: doc_id bigint, text."""
     spark = docs.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), text_bytes(docs) // BUCKET_BYTES + 1)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(n, text_bytes(docs) // BUCKET_BYTES + 1)
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(buckets, False)
+        sender = Sender(buckets, n, False)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
@@ -252,7 +271,7 @@ def repeats(docs: DataFrame) -> DataFrame:
             yield sender.flush()
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(buckets, True)
+        sender = Sender(buckets, n, True)
         for batch in batches:
             for doc, text, hits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 text = text.as_py()
@@ -263,10 +282,10 @@ def repeats(docs: DataFrame) -> DataFrame:
             yield sender.flush()
 
     named = docs.where("doc_id is not null and text is not null")
-    hits = stored(_exchanged(named.mapInArrow(send_anchors, SENT), False))
+    hits = stored(_exchanged(named.mapInArrow(send_anchors, SENT), False, n))
     release(spark)
     met = _met(named, hits, "inner").select("doc_id", "text", "at")
-    return _exchanged(met.mapInArrow(send_windows, SENT), True)
+    return _exchanged(met.mapInArrow(send_windows, SENT), True, n)
 
 
 def _met(docs: DataFrame, answers: DataFrame, how: str) -> DataFrame:
