@@ -159,6 +159,7 @@ def rated(found: DataFrame) -> DataFrame:
 
 def licensed(docs: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """docs without its text, with licence, score, is_file, inherited_from (a directory, if the licence is inherited)."""
+    docs = docs.drop("licence", "score", "licence_words", "is_file", "inherited_from")
     found = stored(rated(stored(scan(docs, text))))
     found = found.withColumn("is_file", F.col("licence").isNotNull() & (F.col("licence_words") >= FILE_SHARE * F.col("n_words")))
     directory = F.regexp_extract(path, "^(.*)/[^/]*$", 1)
