@@ -38,6 +38,7 @@ N_BEST = 3
 UNKNOWN_PENALTY = 10.0
 CACHE, CACHE_LETTERS = 600_000, 16 << 20  # distinct parts and their letters that a task keeps
 SPACE = "▁"
+OWN_SPACE = "\udfff"  # stands for a U+2581 of the text itself while it is segmented; no text holds a lone surrogate
 
 Segmentation = tuple[float, tuple[int, ...]]
 
@@ -59,7 +60,7 @@ class Vocabulary:
                 self.bytes_of.append(b"")
             else:
                 self.score[piece] = (i, sp.get_score(i))
-                self.bytes_of.append(piece.encode())
+                self.bytes_of.append(piece.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.score))
         # pieces of nothing but U+2581 may have a score far below all others; it doesn't count for unknown characters
         self.unknown = min(s for p, (_, s) in self.score.items() if p.strip(SPACE)) - UNKNOWN_PENALTY
@@ -90,7 +91,7 @@ class Vocabulary:
                 elif hit == 0:
                     break
             if not single:
-                ids = tuple(self.byte[b] for b in part[i].encode("utf-8", "surrogatepass"))
+                ids = tuple(self.byte[b] for b in restored(part[i]))
                 edges[i + 1].append((i, self.unknown, ids))
                 forward[i + 1] = max(forward[i + 1], so_far + self.unknown)
         return edges, forward
@@ -142,8 +143,7 @@ class Vocabulary:
         return tuple(i for ids in chain for i in ids), total, max(least, 0.0)
 
     def decode(self, ids) -> str:
-        data = b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "surrogatepass")
-        return data[1:].replace(SPACE, " ") if data else ""
+        return b"".join(self.bytes_of[i] for i in ids)[1:].decode("utf-8")
 
 
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -155,7 +155,12 @@ def vocabulary(model: str) -> Vocabulary:
 
 
 def prepared(text: str) -> str:
-    return SPACE + text.replace(" ", SPACE) if text else ""
+    return SPACE + text.replace(SPACE, OWN_SPACE).replace(" ", SPACE) if text else ""
+
+
+def restored(part: str) -> bytes:
+    """The bytes of a prepared text's part."""
+    return part.replace(SPACE, " ").replace(OWN_SPACE, SPACE).encode()
 
 
 def best_sums(losses: list[list[float]], n: int) -> list[tuple[float, dict[int, int]]]:
@@ -225,7 +230,7 @@ class Parts:
                         if i is None:
                             i = number[part] = len(number)
                             new.append(best(part))
-                            exact.append(b"".join([bytes_of[x] for x in new[-1][0]]) == part.encode("utf-8", "surrogatepass"))
+                            exact.append(b"".join([bytes_of[x] for x in new[-1][0]]) == restored(part))
                             self.letters += len(part)
                         row[k] = i
             rows.append((parts, row))
@@ -285,10 +290,7 @@ SUB_BATCH = 4 << 20  # characters segmented at once
 
 
 def encode(docs: DataFrame, model: str = MODEL, n: int = N_BEST, text: str = "text") -> DataFrame:
-    """docs, its text replaced by ids, score, alternatives and exact (columns of these names are replaced).
-
-    U+2581 itself stands for a space in the model's alphabet; a text that contains it decodes with a space in its place.
-    """
+    """docs, its text replaced by ids, score, alternatives and exact (columns of these names are replaced)."""
     new = ["ids", "score", "alternatives", "exact"]
     kept = [f for f in docs.schema.fields if f.name not in (text, *new)]
 
