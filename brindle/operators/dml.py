@@ -54,8 +54,8 @@ class Writer:
             if rows.groupBy(*(F.col(f"`{c}`") for c in index)).count().where("count > 1").limit(1).count():
                 raise DuplicateKey(f"{table.name}.({','.join(index)})")
 
-    def _replace(self, table: TableMeta, paths: tuple[str, ...], statistics=None) -> None:
-        self.catalog.put(replace(table, paths=paths, statistics=statistics))
+    def _replace(self, table: TableMeta, paths: tuple[str, ...], statistics=None, buckets=None) -> None:
+        self.catalog.put(replace(table, paths=paths, statistics=statistics, buckets=buckets))
 
     # --- statements
 
@@ -139,20 +139,25 @@ class Writer:
         return rows.count()
 
     def create_index(self, s: ast.CreateIndex) -> None:
-        """Checks uniqueness and lays the table out by the key, so that scans by it skip row groups."""
+        """Checks uniqueness and deals the table out by the key, sorted: the layout of an index-merge join."""
         table = self.catalog.table(self.binder.table_name(s.table))
         columns = tuple(table.column(c, self.binder.any_case).name for c in s.columns)
         made = add_index(table, columns)
         rows = self.catalog.read(table.name)
         self.check_unique(table, rows, [columns])
-        paths = table.paths
-        if paths:
-            keys = [F.col(f"`{c}`") for c in columns]
-            paths = (self.catalog.write(table, rows.repartitionByRange(*keys).sortWithinPartitions(*keys)),)
-        self._replace(made, paths, table.statistics)
+        if not table.paths:
+            return self._replace(made, table.paths, table.statistics)
+        self._replace(made, *self._dealt(table, rows, columns))
+
+    def _dealt(self, table: TableMeta, rows: DataFrame, columns: tuple[str, ...]):
+        """Paths, statistics and buckets of a table laid out by a key."""
+        n = int(self.catalog.spark.conf.get("spark.sql.shuffle.partitions"))
+        return (self.catalog.write_buckets(table, rows, columns, n),), table.statistics, (n, columns)
 
     def compact(self) -> None:
-        """Tables of several snapshots become one."""
+        """Tables of several snapshots become one, laid out by their first index if they have one."""
         for table in list(self.catalog.tables.values()):
             if len(table.paths) > 1:
-                self._replace(table, (self.catalog.write(table, self.catalog.read(table.name)),), table.statistics)
+                rows = self.catalog.read(table.name)
+                made = self._dealt(table, rows, table.indexes[0]) if table.indexes else ((self.catalog.write(table, rows),), table.statistics)
+                self._replace(table, *made)
