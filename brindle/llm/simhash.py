@@ -13,6 +13,10 @@ Copies: documents of one fingerprint count once from the start, so a group of ex
 holds distinct fingerprints that agree in all key bits; a large one is searched breadth first, each newly reached
 fingerprint against those not reached yet. Nothing is capped or left out.
 
+With a wide radius, chance pairs appear among very many documents. Then a second 64-bit fingerprint, of hashes with
+another seed, must agree too: at most `check` of its bits may differ. The number of segments follows from the number of
+distinct fingerprints, so that buckets stay small; it doesn't change which pairs link.
+
 Nulls and edge cases: a null or wordless text has fingerprint zero and links like any other; a null doc_id gets a
 component but never names one, unless it has no other member (then null); repeated rows give repeated rows; an empty
 table gives an empty result.
@@ -32,13 +36,13 @@ from pyspark.sql import functions as F
 from brindle.llm.common import stored, table
 from brindle.llm.components import components
 
-SEED = 42
+SEED, CHECK_SEED = 42, 43
 BITS = 64
 PART = 1 << 15  # shingles whose bits are unpacked at once
 SMALL = 24  # buckets up to this size are compared pair by pair, all buckets of a batch together
 
 
-def fingerprint(text: str | None, n: int) -> int:
+def fingerprint(text: str | None, n: int, seed: int = SEED) -> int:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return 0
@@ -49,21 +53,28 @@ def fingerprint(text: str | None, n: int) -> int:
     digest = xxhash.xxh64_intdigest
     ones, total = np.zeros(BITS, np.int64), len(last)
     for at in range(0, total, PART):
-        hashes = np.array([digest(whole[a:b], SEED) for a, b in zip(first[at : at + PART], last[at : at + PART], strict=True)], np.uint64)
+        hashes = np.array([digest(whole[a:b], seed) for a, b in zip(first[at : at + PART], last[at : at + PART], strict=True)], np.uint64)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
     return int(np.packbits(ones * 2 > total, bitorder="little").view(np.int64)[0])
 
 
-def with_fingerprint(docs: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) per row; fp as a signed 64-bit integer."""
+def with_fingerprint(docs: DataFrame, n: int, checked: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp) per row, or (doc_id, fp, other); fingerprints as signed 64-bit integers."""
+    seeds = {"fp": SEED} | ({"other": CHECK_SEED} if checked else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [fingerprint(x.as_py(), n) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            prints = [pa.array([fingerprint(x.as_py(), n, seed) for x in batch.column(1)], pa.int64()) for seed in seeds.values()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *prints], ["doc_id", *seeds])
 
     kind = dict(docs.dtypes)[doc_id]
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in seeds))
+
+
+def segments_for(count: int, radius: int) -> int:
+    """The least number of segments whose keys have more bits than the count of fingerprints."""
+    bits = max(16, count.bit_length() + 1)
+    return next((m for m in range(radius + 2, 24) if BITS * (m - radius) // m >= bits), 24)
 
 
 def segments(m: int) -> list[tuple[int, int]]:
@@ -97,47 +108,60 @@ def linked(x: np.ndarray, m: int, radius: int) -> np.ndarray:
     return ring
 
 
-def _reach(fps: np.ndarray, m: int, radius: int) -> Iterator[tuple[int, int]]:
-    """Spanning links of one bucket, breadth first."""
-    left = fps
-    while left.size:
-        front, left = left[:1], left[1:]
-        while front.size and left.size:
-            a, front = front[:64], front[64:]
-            near = linked(a[:, None] ^ left[None, :], m, radius)
-            got = near.any(axis=0)
-            if got.any():
-                by = a[near.argmax(axis=0)[got]]
-                yield from zip(left[got].tolist(), by.tolist(), strict=True)
-                front, left = np.concatenate([front, left[got]]), left[~got]
-
-
-def _bucket_links(keys: np.ndarray, fps: np.ndarray, m: int, radius: int) -> Iterator[tuple[int, int]]:
-    """Links within runs of equal keys; a spanning set for large runs, pairs for small ones."""
-    starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-    sizes = np.diff(np.r_[starts, len(keys)])
-    small = np.repeat(np.where((sizes > 1) & (sizes <= SMALL), starts, -1), sizes)
-    for d in range(1, min(SMALL, int(sizes.max(initial=1)))):
-        at = np.flatnonzero((small[d:] == small[:-d]) & (small[d:] >= 0))
-        if not at.size:
-            break
-        ok = at[linked(fps[at] ^ fps[at + d], m, radius)]
-        yield from zip(fps[ok].tolist(), fps[ok + d].tolist(), strict=True)
-    for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        yield from _reach(fps[s : s + n], m, radius)
-
-
-def links(fps: DataFrame, radius: int, m: int) -> DataFrame:
-    """(a, b): links that span every group of fingerprints joined by at most `radius` differing bits. fps: distinct fp."""
-    spark = fps.sparkSession
+class Bucket:
+    """Links between fingerprints (rows of one or two numbers)."""
+
+    def __init__(self, m: int, radius: int, check: int | None):
+        self.m, self.radius, self.check = m, radius, check
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = a ^ b
+        found = linked(x[..., 0], self.m, self.radius)
+        if self.check is not None:
+            found[found] = np.bitwise_count(x[found][:, 1]) <= self.check
+        return found
+
+    def reach(self, fps: np.ndarray) -> Iterator[np.ndarray]:
+        """Spanning links of one bucket, breadth first: rows of both ends."""
+        left = fps
+        while len(left):
+            front, left = left[:1], left[1:]
+            while len(front) and len(left):
+                a, front = front[:64], front[64:]
+                near = self.near(a[:, None], left[None, :])
+                got = near.any(axis=0)
+                if got.any():
+                    yield np.concatenate([left[got], a[near.argmax(axis=0)[got]]], axis=1)
+                    front, left = np.concatenate([front, left[got]]), left[~got]
+
+    def links(self, keys: np.ndarray, fps: np.ndarray) -> Iterator[np.ndarray]:
+        """Links within runs of equal keys; a spanning set for large runs, pairs for small ones."""
+        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+        sizes = np.diff(np.r_[starts, len(keys)])
+        small = np.repeat(np.where((sizes > 1) & (sizes <= SMALL), starts, -1), sizes)
+        for d in range(1, min(SMALL, int(sizes.max(initial=1)))):
+            at = np.flatnonzero((small[d:] == small[:-d]) & (small[d:] >= 0))
+            if not at.size:
+                break
+            ok = at[self.near(fps[at], fps[at + d])]
+            yield np.concatenate([fps[ok], fps[ok + d]], axis=1)
+        for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+            yield from self.reach(fps[s : s + n])
+
+
+def links(fps: DataFrame, radius: int, m: int, check: int | None = None) -> DataFrame:
+    """(a, b), structs of the columns of fps: links that span every group of near fingerprints. fps: distinct fp (and other)."""
+    spark, names = fps.sparkSession, fps.columns
+    ends = [f"{side}_{c}" for side in "ab" for c in names]
+    bucket = Bucket(m, radius, check)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def emit(rows: np.ndarray):
-            got = list(_bucket_links(rows[:, :2], rows[:, 2].view(np.uint64), m, radius))
-            pairs = np.array(got, np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            got = [np.zeros((0, len(ends)), np.uint64), *bucket.links(rows[:, :2], rows[:, 2:].view(np.uint64))]
+            pairs = np.concatenate(got).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(len(ends))], ends)
 
         for batch in batches:
             if not batch.num_rows:
@@ -156,31 +180,35 @@ def links(fps: DataFrame, radius: int, m: int) -> DataFrame:
         if held:
             yield emit(np.concatenate(held))
 
-    keyed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(k)) for k in masks(m, radius)))).alias("choice", "part"))
+    keyed = fps.select(*names, F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(k)) for k in masks(m, radius)))).alias("choice", "part"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(n, "choice", "part").sortWithinPartitions("choice", "part", "fp").select("choice", "part", "fp").mapInArrow(run, "a bigint, b bigint")
+    dealt = keyed.repartition(n, "choice", "part").sortWithinPartitions("choice", "part", *names)
+    found = dealt.select("choice", "part", *names).mapInArrow(run, ", ".join(f"{c} bigint" for c in ends))
+    return found.select(*(F.struct(*(F.col(f"{side}_{c}").alias(c) for c in names)).alias(side) for side in "ab"))
 
 
-def near_duplicates(docs: DataFrame, n: int, radius: int, m: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int, radius: int, check: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) per row of docs; component_id is the smallest doc_id reachable over links."""
-    prints = stored(with_fingerprint(docs, n, doc_id, text))
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = components(links(reps.select("fp"), radius, m), "a", "b")
-    named = roots.join(reps, roots.node == reps.fp).select("fp", "root", "rep")
+    prints = stored(with_fingerprint(docs, n, check is not None, doc_id, text))
+    own = prints.columns[1:]
+    reps = prints.groupBy(*own).agg(F.min("doc_id").alias("rep"))
+    found = links(reps.select(*own), radius, segments_for(reps.count(), radius), check)
+    roots = components(found, "a", "b").select(*(F.col(f"node.{c}").alias(c) for c in own), "root")
+    named = roots.join(reps, own)
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
-    linked_reps = named.join(least, "root").select("fp", "least")
-    label = reps.join(linked_reps, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return prints.join(label, "fp").select("doc_id", "fp", "component_id")
+    linked_reps = named.join(least, "root").select(*own, "least")
+    label = reps.join(linked_reps, own, "left").select(*own, F.coalesce("least", "rep").alias("component_id"))
+    return prints.join(label, own).select("doc_id", "fp", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, links at two or fewer differing bits, over all documents."""
-    found = near_duplicates(table(spark, sf_dir, "documents"), n=3, radius=2, m=6)
+    found = near_duplicates(table(spark, sf_dir, "documents"), n=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of the pipeline's stage: shingles of five words, at most 4 of 64 bits apart (a similarity of 0.93).
-STAGE = {"n": 5, "radius": 4, "m": 7}
+#: Of the pipeline's stage: shingles of five words, at most 6 of 64 bits apart (a similarity of 0.9), the second fingerprint 16.
+STAGE = {"n": 5, "radius": 6, "check": 16}
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:

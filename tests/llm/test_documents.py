@@ -99,13 +99,13 @@ def closure(nodes, linked):
 
 
 def test_simhash(docs, texts):
-    found = simhash.near_duplicates(docs, n=3, radius=2, m=6).collect()
+    found = simhash.near_duplicates(docs, n=3, radius=2).collect()
     prints = {}
     for d, t in texts:
         prints[d] = plain_fingerprint(t, 3)
     want = closure(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
     assert sorted((r.doc_id, r.fp % 2**64, r.component_id) for r in found) == sorted((d, prints[d], want[d]) for d, _ in texts)
-    assert simhash.near_duplicates(empty(docs), n=3, radius=2, m=6).count() == 0
+    assert simhash.near_duplicates(empty(docs), n=3, radius=2).count() == 0
 
 
 def test_simhash_keeps_one_of_each_group(docs):
@@ -116,21 +116,27 @@ def test_simhash_keeps_one_of_each_group(docs):
     assert set(ids) == set(found.values())
 
 
-@pytest.mark.parametrize("radius, m", [(2, 6), (4, 7)])
-def test_bucket_links_span_large_and_small_buckets(spark, radius, m):
+@pytest.mark.parametrize("radius, m, check", [(2, 4, None), (4, 7, None), (6, 9, 16)])
+def test_bucket_links_span_large_and_small_buckets(spark, radius, m, check):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 3, dtype=np.uint64)
-    near = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 3), replace=False)) for b in base for _ in range(60)]
-    fps = sorted({x - 2**64 if x >> 63 else x for x in near})
-    roots = {r.node: r.root for r in components.components(simhash.links(spark.createDataFrame([(x,) for x in fps], "fp bigint"), radius, m), "a", "b").collect()}
-    want = closure(fps, lambda a, b: ((a ^ b) % 2**64).bit_count() <= radius)
-    assert all(roots.get(x, x) == want[x] for x in fps)
+    near = {(int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 3), replace=False)), int(rng.integers(0, 2)) * (2**20 - 1)) for b in base for _ in range(60)}
+    fps = sorted((x - 2**64 if x >> 63 else x, *([y] if check else [])) for x, y in near)
+    fps = sorted(set(fps))
+    table = spark.createDataFrame(fps, "fp bigint, other bigint" if check else "fp bigint")
+    roots = {tuple(r.node): r.root for r in components.components(simhash.links(table, radius, m, check), "a", "b").collect()}
+
+    def linked(a, b):
+        return ((a[0] ^ b[0]) % 2**64).bit_count() <= radius and (not check or (a[1] ^ b[1]).bit_count() <= check)
+
+    want = closure(fps, linked)
+    assert all(tuple(roots.get(x, x)) == want[x] for x in fps)
 
 
 def test_pigeonring_never_loses_a_pair_within_the_radius():
     rng = np.random.default_rng(1)
     x = np.array([sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(3000)], np.uint64)
-    for radius, m in ((2, 6), (4, 7), (3, 5)):
+    for radius, m in ((2, 6), (2, 4), (4, 7), (3, 5), (6, 9)):
         assert (simhash.linked(x, m, radius) == (np.bitwise_count(x) <= radius)).all()
 
 
