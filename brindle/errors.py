@@ -66,6 +66,10 @@ class IllegalSubquery(EngineError):
     prefix = "Subquery illegal: "
 
 
+class LoadFault(EngineError):
+    prefix = "Load failed: "
+
+
 class NoJoinStrategy(EngineError):
     prefix = "No join strategy is enabled"
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.errors import DuplicateKey, IncompatibleTypes, NullViolation, StringTooLong, ValueCountMismatch
+from brindle.errors import DuplicateKey, IncompatibleTypes, LoadFault, NullViolation, StringTooLong, ValueCountMismatch
 from brindle.functions.scalar import arithmetic
 from brindle.plans.binder import Binder, Predicate, Query, kind_of, kind_of_value
 from brindle.plans.build import Builder
@@ -129,7 +130,10 @@ class Writer:
 
     def load(self, s: ast.Load) -> int:
         table = self.catalog.table(self.binder.table_name(s.table))
-        path = self.catalog.write(table, delimited.read(self.catalog.spark, s.path, table))
+        try:
+            path = self.catalog.write(table, delimited.read(self.catalog.spark, s.path, table))
+        except PySparkException as fault:
+            raise LoadFault(f"{s.path}: {str(fault).splitlines()[0]}") from fault
         rows = self.catalog.spark.read.schema(table.schema).parquet(path)
         self.check_rows(table, rows)
         loaded = replace(table, paths=(*table.paths, path))

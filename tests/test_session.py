@@ -192,3 +192,18 @@ def test_index_merge_join_needs_no_exchange(spark, tmp_path):
     assert session.query("SELECT * FROM a;").count() == 501 and session.catalog.table("a").buckets is None
     session.execute("CREATE STATIC_CHECKPOINT;")
     assert session.query("SELECT * FROM a;").count() == 501 and session.catalog.table("a").buckets
+
+
+def test_load_faults_show_in_the_next_statement(spark, tmp_path):
+    session = Session(spark, str(tmp_path / "db"))
+    session.execute("CREATE TABLE t (a INT, b VARCHAR(3) NOT NULL);")
+    for body, error in (("x|y|\n", errors.LoadFault), ("1|long|\n", errors.StringTooLong), ("1\n", errors.NullViolation)):
+        (tmp_path / "t.tbl").write_text(body)
+        session.load(str(tmp_path / "t.tbl"), "t")
+        with pytest.raises(error):
+            session.execute("SHOW TABLES;")
+    (tmp_path / "t.csv").write_text("1|a\n-2|b|more\n")
+    session.load(str(tmp_path / "t.csv"), "t")
+    assert sorted(values(session, "SELECT * FROM t;")) == [(-2, "b"), (1, "a")]
+    session.drop_database()
+    assert values(session, "SHOW TABLES;") == []
