@@ -33,10 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder as Parquet (zstd) and read again: cuts the lineage, and later scans prune columns."""
+    """df, written to the shared folder as Parquet (zstd) and read again: cuts the lineage, and later scans prune columns.
+
+    The files go when the driver's JVM ends, as results may be read from them until then.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,3 +56,8 @@ def release(spark: SparkSession) -> None:
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """rows in n partitions by the number in their column bucket, as evenly as the buckets themselves: hashing would put several in one."""
+    return rows.repartitionById(n, F.pmod(F.col("bucket"), F.lit(n)).cast("int"))

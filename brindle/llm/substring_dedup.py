@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import release, stored, table, text_bytes
+from brindle.llm.common import dealt, release, stored, table, text_bytes
 
 WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)  # every difference modulo 7 is one of two cover positions
@@ -249,8 +249,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _exchanged(sent: DataFrame, wide: bool, n: int) -> DataFrame:
     """(doc_id, text_hash, at) per document: all answers, from the tasks themselves and from the buckets."""
-    answers = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(wide, n), SENT)
-    return answers.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "doc_id bigint, text_hash bigint, at array<int>")
+    answers = dealt(sent, n).sortWithinPartitions("bucket").mapInArrow(_answer(wide, n), SENT)
+    return dealt(answers, n).sortWithinPartitions("bucket").mapInArrow(_gather, "doc_id bigint, text_hash bigint, at array<int>")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
