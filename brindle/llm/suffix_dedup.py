@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import release, stored, table, text_bytes
+from brindle.llm.common import dealt, release, stored, table, text_bytes
 
 WINDOW, GRAM = 400, 48
 GRAMS = WINDOW - GRAM + 1  # in a window
@@ -359,11 +359,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     buckets = max(n, text_bytes(docs) // BUCKET_BYTES + 1)
     named = docs.where("doc_id is not null and text is not null")
     sent = stored(named.mapInArrow(send_anchors(buckets), f"bucket int, payload binary, {TOLD}"))
-    asked = sent.where("bucket >= 0").select("bucket", "payload").repartition(n, "bucket").sortWithinPartitions("bucket")
+    asked = dealt(sent.where("bucket >= 0").select("bucket", "payload"), n).sortWithinPartitions("bucket")
     answers = stored(asked.mapInArrow(meet_anchors, TOLD))
     release(spark)
     ask = _met(named, _grouped(answers.where("kind = 'ask'").select("doc_id", "text_hash", "at")), "inner")
-    contexts = ask.mapInArrow(send_contexts(buckets), "bucket int, payload binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    contexts = dealt(ask.mapInArrow(send_contexts(buckets), "bucket int, payload binary"), n).sortWithinPartitions("bucket")
     compared = contexts.mapInArrow(compare_contexts, TOLD)
     told = sent.where("bucket < 0").select("doc_id", "text_hash", "at")
     return _grouped(told.unionByName(answers.where("kind = 'gone'").select("doc_id", "text_hash", "at")).unionByName(compared.select("doc_id", "text_hash", "at")))
