@@ -36,10 +36,13 @@ from brindle.llm.common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 UNKNOWN_PENALTY = 10.0
-CACHE, CACHE_LETTERS = 600_000, 16 << 20  # distinct parts and their letters that a task keeps
+CACHE, CACHE_LETTERS = 500_000, 8 << 20  # distinct parts and their letters that a worker keeps
 SPACE = "▁"
 OWN_SPACE = "\udfff"  # stands for a U+2581 of the text itself while it is segmented; no text holds a lone surrogate
 
+TOGETHER = 32  # parts up to this length are segmented together with others of their length
+_ODD_A, _ODD_B, _ODD_C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+
 Segmentation = tuple[float, tuple[int, ...]]
 
 
@@ -69,6 +72,7 @@ class Vocabulary:
         # of every string that begins a piece: its edge (score, ids) if it is a piece itself, else None
         self.table: dict[str, tuple[float, tuple[int, ...]] | None] = {p[:k]: None for p in self.score for k in range(1, len(p))}
         self.table |= {p: (s, (i,)) for p, (i, s) in self.score.items()}
+        self._index()
 
     def parts(self, text: str) -> list[str]:
         """Parts of a text whose spaces are U+2581 that no piece reaches across."""
@@ -142,6 +146,108 @@ class Vocabulary:
                     least = total - forward[i] - s - rest
         return tuple(i for ids in chain for i in ids), total, max(least, 0.0)
 
+    def _index(self) -> None:
+        """Pieces by a hash of their letters, in two tables: the second has those whose place in the first is taken."""
+        entries = sorted((len(p), p) for p in self.score)
+        hashes = np.array([self._hash(p) for _, p in entries], np.uint64)
+        assert len(set(hashes.tolist())) == len(entries)
+        self.keys = np.r_[np.uint64(0), hashes]  # entry 0 is none
+        self.key_id = np.array([-1, *(self.score[p][0] for _, p in entries)], np.int32)
+        self.key_score = np.array([-np.inf, *(self.score[p][1] for _, p in entries)])
+        self.first, over = np.zeros(1 << 19, np.int32), []
+        for k, h in enumerate(hashes.tolist(), 1):
+            place = (h * _ODD_A % (1 << 64)) >> 45
+            if self.first[place]:
+                over.append((k, h))
+            else:
+                self.first[place] = k
+        # a multiplier that gives those whose place was taken a place each
+        self.odd = next(odd for odd in range(_ODD_B, _ODD_B + 1000, 2) if len({(h * odd % (1 << 64)) >> 44 for _, h in over}) == len(over))
+        self.second = np.zeros(1 << 20, np.int32)
+        for k, h in over:
+            self.second[(h * self.odd % (1 << 64)) >> 44] = k
+
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * _ODD_C + ord(c) + 1) % (1 << 64)
+        return h
+
+    def _entries(self, h: np.ndarray) -> np.ndarray:
+        at = self.first[(h * np.uint64(_ODD_A)) >> np.uint64(45)]
+        miss = np.flatnonzero(self.keys[at] != h)
+        if miss.size:
+            other = self.second[(h[miss] * np.uint64(self.odd)) >> np.uint64(44)]
+            at[miss] = np.where(self.keys[other] == h[miss], other, 0)
+        return at
+
+    def best_of_many(self, parts: list[str]) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray]:
+        """best() of each part: the same forward and backward passes, for all parts of one length at once."""
+        ids: list[tuple[int, ...]] = [()] * len(parts)
+        score, loss = np.zeros(len(parts)), np.zeros(len(parts))
+        by_length: dict[int, list[int]] = {}
+        for k, part in enumerate(parts):
+            by_length.setdefault(len(part), []).append(k)
+        for size, members in by_length.items():
+            one_by_one = members
+            if size <= TOGETHER and len(members) >= 8:
+                found, total, least, sure = self._together([parts[k] for k in members], size)
+                for k, own, known in zip(members, found, sure.tolist(), strict=True):
+                    if known:
+                        ids[k] = own
+                score[members], loss[members] = total, least
+                one_by_one = [k for k, known in zip(members, sure.tolist(), strict=True) if not known]
+            for k in one_by_one:
+                ids[k], score[k], loss[k] = self.best(parts[k])
+        return ids, score, loss
+
+    @np.errstate(invalid="ignore")  # of parts with a letter that is no piece, which are left to best()
+    def _together(self, parts: list[str], size: int) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray, np.ndarray]:
+        """ids, score and loss of parts of one length; the last says which have only letters that are pieces."""
+        n = len(parts)
+        letters = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, size).T.astype(np.uint64) + np.uint64(1)
+        forward, came = np.full((size + 1, n), -np.inf), np.zeros((size + 1, n), np.int32)
+        forward[0] = 0.0
+        edge: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        sure = np.ones(n, bool)
+        for i in range(size):
+            h = np.zeros(n, np.uint64)
+            for j in range(i + 1, min(size, i + self.longest) + 1):
+                h = h * np.uint64(_ODD_C) + letters[j - 1]
+                at = self._entries(h)
+                if j == i + 1:
+                    sure &= at > 0
+                own = self.key_score[at]
+                edge[i, j] = own, at
+                reach = forward[i] + own
+                better = np.flatnonzero(reach > forward[j])
+                forward[j][better] = reach[better]
+                came[j][better] = i
+        total, rows = forward[size], np.arange(n)
+        used = np.zeros((size + 1, n), bool)
+        used[size] = True
+        backward = np.full((size + 1, n), -np.inf)
+        backward[size] = 0.0
+        least, taken = np.full(n, np.inf), np.zeros((size + 1, n), np.int32)
+        for j in range(size, 0, -1):
+            used[came[j][used[j]], rows[used[j]]] = True
+            for i in range(j - 1, max(-1, j - self.longest - 1), -1):
+                own, at = edge[i, j]
+                rest = own + backward[j]
+                np.maximum(backward[i], rest, out=backward[i])
+                best = used[j] & (came[j] == i)
+                taken[j][best] = self.key_id[at[best]]
+                lost = total - (forward[i] + rest)
+                lost[best] = np.inf
+                np.fmin(least, lost, out=least)
+        flat, counts = taken.T[:, 1:][used.T[:, 1:]].tolist(), used[1:].sum(axis=0).tolist()
+        found, at = [], 0
+        for c in counts:
+            found.append(tuple(flat[at : at + c]))
+            at += c
+        return found, total, np.maximum(least, 0.0), sure
+
     def decode(self, ids) -> str:
         return b"".join(self.bytes_of[i] for i in ids)[1:].decode("utf-8")
 
@@ -213,9 +319,9 @@ class Parts:
         """Parts and their numbers, of each text."""
         if len(self.number) > CACHE or self.letters > CACHE_LETTERS:
             self.clear()
-        number, get, split, best, bytes_of = self.number, self.number.get, self.vocab.parts, self.vocab.best, self.vocab.bytes_of
+        number, get, split = self.number, self.number.get, self.vocab.parts
         rows: list[tuple[list[str], list[int]] | None] = []
-        new, exact = [], []
+        new: list[str] = []
         for text in texts:
             if text is None:
                 rows.append(None)
@@ -225,21 +331,21 @@ class Parts:
             if None in row:
                 for k, i in enumerate(row):
                     if i is None:
-                        part = parts[k]
-                        i = get(part)
+                        i = get(parts[k])
                         if i is None:
-                            i = number[part] = len(number)
-                            new.append(best(part))
-                            exact.append(b"".join([bytes_of[x] for x in new[-1][0]]) == restored(part))
-                            self.letters += len(part)
+                            i = number[parts[k]] = len(number)
+                            new.append(parts[k])
                         row[k] = i
             rows.append((parts, row))
         if new:
-            self.flat = np.concatenate([self.flat, np.fromiter((i for f in new for i in f[0]), np.int32)])
-            self.sizes = np.concatenate([self.sizes, np.array([len(f[0]) for f in new], np.int32)])
-            self.score = np.concatenate([self.score, [f[1] for f in new]])
-            self.loss = np.concatenate([self.loss, [f[2] for f in new]])
-            self.exact = np.concatenate([self.exact, exact])
+            ids, score, loss = self.vocab.best_of_many(new)
+            bytes_of = self.vocab.bytes_of
+            exact = [b"".join([bytes_of[x] for x in own]) == restored(part) for own, part in zip(ids, new, strict=True)]
+            self.letters += sum(map(len, new))
+            self.flat = np.concatenate([self.flat, np.fromiter((i for own in ids for i in own), np.int32)])
+            self.sizes = np.concatenate([self.sizes, np.array([len(own) for own in ids], np.int32)])
+            self.score, self.loss = np.concatenate([self.score, score]), np.concatenate([self.loss, loss])
+            self.exact = np.concatenate([self.exact, np.array(exact, bool)])
         return rows
 
     def others(self, part: str, ids: tuple[int, ...]) -> list[Segmentation]:
@@ -249,6 +355,12 @@ class Parts:
         return [(found[0][0], ids), *rest[: self.n - 1]]
 
 
+@cache
+def parts_of(model: str, n: int) -> Parts:
+    """Those of a worker process, which its tasks share."""
+    return Parts(vocabulary(model), n)
+
+
 ALTERNATIVE = pa.struct([("score", pa.float64()), ("parts", pa.list_(pa.int32())), ("ids", pa.list_(pa.list_(pa.int32())))])
 OUT = "ids array<int>, score double, alternatives array<struct<score:double,parts:array<int>,ids:array<array<int>>>>, exact boolean"
 
@@ -295,7 +407,7 @@ def encode(docs: DataFrame, model: str = MODEL, n: int = N_BEST, text: str = "te
     kept = [f for f in docs.schema.fields if f.name not in (text, *new)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(vocabulary(model), n)
+        parts = parts_of(model, n)
         for batch in batches:
             names = batch.schema.names
             column = batch.column(names.index(text))

@@ -40,6 +40,15 @@ def test_n_best_equals_brute_force(vocab, word):
     assert loss == pytest.approx(want[0][0] - want[1][0]) if len(want) > 1 else loss == float("inf")
 
 
+def test_many_parts_as_one_by_one(vocab, spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
+    parts = sorted({p for t in texts for p in vocab.parts(pieces.prepared(t))}) + ["日本語日本", "a" * 40, "▁▁▁", "\n", "▁ééé", "𝄞", "▁" + "ab" * 8] * 9
+    for part, ids, score, loss in zip(parts, *vocab.best_of_many(parts), strict=True):
+        one = vocab.best(part)
+        assert score == pytest.approx(one[1]) and (loss == one[2] or loss == pytest.approx(one[2]))
+        assert ids == one[0] or one[2] == 0
+
+
 @pytest.mark.parametrize("text", ["a cat sat é", "x  y", "on\nit", "the the"])
 def test_n_best_of_texts(vocab, text):
     want = every_segmentation(vocab, pieces.prepared(text))[:6]
