@@ -191,14 +191,15 @@ def near_duplicates(docs: DataFrame, n: int, radius: int, check: int | None = No
     """(doc_id, fp, component_id) per row of docs; component_id is the smallest doc_id reachable over links."""
     prints = stored(with_fingerprint(docs, n, check is not None, doc_id, text))
     own = prints.columns[1:]
-    reps = prints.groupBy(*own).agg(F.min("doc_id").alias("rep"))
+    reps = stored(prints.groupBy(*own).agg(F.min("doc_id").alias("rep")))
     found = links(reps.select(*own), radius, segments_for(reps.count(), radius), check)
     roots = components(found, "a", "b").select(*(F.col(f"node.{c}").alias(c) for c in own), "root")
     named = roots.join(reps, own)
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
     linked_reps = named.join(least, "root").select(*own, "least")
     label = reps.join(linked_reps, own, "left").select(*own, F.coalesce("least", "rep").alias("component_id"))
-    return prints.join(label, own).select("doc_id", "fp", "component_id")
+    # stored, so that the join reads both sides anew and Spark can split a fingerprint that many documents share
+    return prints.join(stored(label), own).select("doc_id", "fp", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
