@@ -36,7 +36,7 @@ from brindle.llm.common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 UNKNOWN_PENALTY = 10.0
-CACHE, CACHE_LETTERS = 500_000, 8 << 20  # distinct parts and their letters that a worker keeps
+CACHE, CACHE_LETTERS = 300_000, 8 << 20  # distinct parts and their letters that a task keeps; an idle worker holds none
 SPACE = "▁"
 OWN_SPACE = "\udfff"  # stands for a U+2581 of the text itself while it is segmented; no text holds a lone surrogate
 
@@ -355,12 +355,6 @@ class Parts:
         return [(found[0][0], ids), *rest[: self.n - 1]]
 
 
-@cache
-def parts_of(model: str, n: int) -> Parts:
-    """Those of a worker process, which its tasks share."""
-    return Parts(vocabulary(model), n)
-
-
 ALTERNATIVE = pa.struct([("score", pa.float64()), ("parts", pa.list_(pa.int32())), ("ids", pa.list_(pa.list_(pa.int32())))])
 OUT = "ids array<int>, score double, alternatives array<struct<score:double,parts:array<int>,ids:array<array<int>>>>, exact boolean"
 
@@ -407,7 +401,7 @@ def encode(docs: DataFrame, model: str = MODEL, n: int = N_BEST, text: str = "te
     kept = [f for f in docs.schema.fields if f.name not in (text, *new)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = parts_of(model, n)
+        parts = Parts(vocabulary(model), n)
         for batch in batches:
             names = batch.schema.names
             column = batch.column(names.index(text))
