@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.llm import near_sets
 from brindle.llm.common import stored, table
 from brindle.llm.components import components
 
@@ -187,8 +188,15 @@ def links(fps: DataFrame, radius: int, m: int, check: int | None = None) -> Data
     return found.select(*(F.struct(*(F.col(f"{side}_{c}").alias(c) for c in names)).alias(side) for side in "ab"))
 
 
-def near_duplicates(docs: DataFrame, n: int, radius: int, check: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) per row of docs; component_id is the smallest doc_id reachable over links."""
+def near_duplicates(docs: DataFrame, n: int, radius: int = 0, check: int | None = None, doc_id: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) per row of docs; component_id is the smallest doc_id reachable over links.
+
+    With a similarity, links are by the Jaccard similarity of the shingle sets, and fp is the hash of a set.
+    """
+    if similarity is not None:
+        rows, roots = near_sets.groups(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), n, similarity)
+        named = rows.join(roots, "s", "left").select(F.col("_id").alias("doc_id"), F.col("s").alias("fp"), F.coalesce("root", "s").alias("_root"))
+        return named.join(named.groupBy("_root").agg(F.min("doc_id").alias("component_id")), "_root").select("doc_id", "fp", "component_id")
     prints = stored(with_fingerprint(docs, n, check is not None, doc_id, text))
     own = prints.columns[1:]
     reps = stored(prints.groupBy(*own).agg(F.min("doc_id").alias("rep")))
@@ -208,8 +216,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of the pipeline's stage: shingles of five words, at most 6 of 64 bits apart (a similarity of 0.9), the second fingerprint 16.
-STAGE = {"n": 5, "radius": 6, "check": 16}
+#: Of the pipeline's stage: a Jaccard similarity of 0.8 or more of the sets of five-word shingles.
+STAGE = {"n": 5, "similarity": 0.8}
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:

@@ -329,3 +329,47 @@ def test_deep_shallow_order(texts):
 def test_large_groups_of_long_common_prefixes():
     texts = [b"x" * 80 + bytes([i % 5]) * (i % 40) for i in range(200)]
     assert [texts[i] for i in suffix_dedup.deep_shallow(texts)] == sorted(texts)
+
+
+# --- near duplicates by the Jaccard similarity of shingle sets
+
+
+def plain_set(text, n=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def near_copies():
+    """Texts with copies that differ in more and more words, and pairs at exactly and just below 0.8."""
+    rng = np.random.default_rng(3)
+    out = []
+    for _ in range(12):
+        words = [f"w{k}" for k in rng.integers(0, 5000, 200)]
+        out.append(" ".join(words))
+        for edits in (1, 2, 3, 4, 6):
+            copy = list(words)
+            for at in rng.choice(200, edits, replace=False):
+                copy[at] = f"x{rng.integers(0, 10**6)}"
+            out.append(" ".join(copy))
+    exact = [f"e{k}" for k in range(12)]  # 8 shingles; with two words more 10 of 8: 0.8
+    return [*out, " ".join(exact), " ".join([*exact, "p", "q"]), " ".join([*exact[:8], *"rstuvwxyz"])]
+
+
+@pytest.mark.parametrize("often, cross", [(3, 1 << 20), (2, 50)])
+def test_near_dedup_links_every_pair_of_similarity_08(spark, texts, monkeypatch, often, cross):
+    from brindle.llm import near_sets
+
+    monkeypatch.setattr(near_sets, "OFTEN", often)
+    monkeypatch.setattr(near_sets, "CROSS", cross)
+    rows = texts + [(50_000 + i, t) for i, t in enumerate(near_copies())]
+    sets = {d: plain_set(t) for d, t in rows}
+    want = closure(sorted(sets), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = simhash.near_duplicates(table, **simhash.STAGE).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == sorted((d, want[d]) for d, _ in rows)
+    assert sorted(r.doc_id for r in simhash.one_of_each_group(table).collect()) == sorted(set(want.values()))
+    assert simhash.one_of_each_group(empty(table)).count() == 0
