@@ -221,11 +221,22 @@ STAGE = {"n": 5, "similarity": 0.8}
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The documents that name their group of near duplicates, columns unchanged; of rows that repeat a doc_id, one."""
-    found = near_duplicates(docs, **STAGE).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    kept = docs.join(found.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    repeats = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeats else kept
+    """Of each group of near duplicates the row of the least doc_id (nulls last, ties by the text's hash), columns unchanged.
+
+    Rows are told apart by doc_id and text together, so rows that share a doc_id, or have none, stay if they are unlike.
+    """
+    own = ["_id", "_h", "_g"]
+    rows, roots = near_sets.groups(docs, **STAGE)
+    counted = rows.join(roots, "s", "left").groupBy(F.coalesce("root", "s").alias("_root"), *own).agg(F.count(F.lit(1)).alias("n"))
+    first = counted.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("last"), *own, "n")).alias("r"))
+    found = stored(first.select(*(F.col(f"r.{c}").alias(f"r{c}") for c in own), F.col("r.n").alias("n")))
+    same = [F.col(c).eqNullSafe(F.col(f"r{c}")) for c in own]
+    marked = near_sets.identified(docs)
+    kept = marked.join(found.where("n = 1"), same, "left_semi").select(*docs.columns)
+    repeats = found.where("n > 1")
+    if not repeats.limit(1).count():
+        return kept
+    return kept.unionByName(marked.join(repeats, same, "left_semi").dropDuplicates(own).select(*docs.columns))
 
 
 QUERIES = {"op5_simhash": op5_simhash}

@@ -373,3 +373,11 @@ def test_near_dedup_links_every_pair_of_similarity_08(spark, texts, monkeypatch,
     assert sorted((r.doc_id, r.component_id) for r in found) == sorted((d, want[d]) for d, _ in rows)
     assert sorted(r.doc_id for r in simhash.one_of_each_group(table).collect()) == sorted(set(want.values()))
     assert simhash.one_of_each_group(empty(table)).count() == 0
+
+
+def test_near_dedup_tells_rows_apart_that_share_a_doc_id(spark):
+    x, y, z, u, v = (" ".join(f"{c}{i}" for i in range(80)) for c in "xyzuv")
+    rows = [(None, x), (None, y), (None, y), (1, z), (5, z), (5, u), (5, v), (5, v), (7, v + " more"), (None, u)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each_group(table).collect()]
+    assert sorted(kept, key=str) == sorted([(None, x), (None, y), (1, z), (5, u), (5, v)], key=str)
