@@ -8,10 +8,11 @@ any of them), and the error probability over all strata and cutoffs too (Bonferr
 confidence no stratum loses more than the stated share of its good documents to these rules. The lowest cutoff that
 passes is taken; a rule without one never rejects. Documents that the base rule rejects anyway are not in the holdout.
 
-The holdout is every labelled document. Only counts per (stratum, rule, cutoff) reach the driver: at most STRATA of
-them, the strata with the most good labels; all others share one pooled stratum, as do unseen and null ones.
+The holdout is every labelled document. Every stratum has its own counts and cutoffs, in a table that is joined back by
+stratum (broadcast if counted at most FEW); only the number of strata reaches the driver. A stratum without good labels,
+or with too few for a proof, loses nothing but what the base rule rejects.
 
-Nulls and edge cases: a null text has no words and fails the base rule; null labels and null doc_ids are left out of
+Nulls and edge cases: a null stratum is one of its own; a null text has no words and fails the base rule; null labels and null doc_ids are left out of
 the holdout; a document labelled twice counts once, as good if any of its labels is; without labels no rule rejects;
 repeated rows give repeated rows.
 """
@@ -19,8 +20,10 @@ repeated rows give repeated rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ from brindle.llm.common import stored, table
 
 RISK = 0.02  # allowed share of good documents rejected, per stratum
 CONFIDENCE = 0.95
-STRATA = 64
+FEW = 50_000  # strata whose cutoffs may be broadcast
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 #: Name, score (higher is worse), cutoffs to try.
@@ -98,46 +101,51 @@ def bounded(k: int, n: int, risk: float, delta: float) -> bool:
     return k < n * risk and tail(k, n, risk) <= delta
 
 
-def cutoffs(scored: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> tuple[dict, dict]:
-    """({stratum: {rule: cutoff}}, {rule: cutoff of the pooled stratum}). scored: doc_id, stratum and the signals."""
+def proven(scored: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
+    """(_stratum, _cut_0, _cut_1, ...): the cutoffs of every stratum with good labels in the order of RULES, null where none is proven."""
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
     held = scored.where(~base_failed()).join(good, "doc_id", "left_semi")
     counts = [F.count(F.lit(1)).alias("n")]
     counts += [F.count_if(F.expr(score) > c).alias(f"{rule}:{k}") for rule, (score, grid) in RULES.items() for k, c in enumerate(grid)]
-    by = held.groupBy("stratum").agg(*counts)
-    own = by.where("stratum is not null").orderBy(F.desc("n"), "stratum").limit(STRATA).collect()
-    names = [r["stratum"] for r in own]
-    rest = by.where(F.col("stratum").isNull() | ~F.col("stratum").isin(names)) if names else by
-    pooled = rest.agg(*(F.sum(c).alias(c) for c in by.columns[1:])).first()
-    tests = (len(own) + 1) * sum(len(grid) for _, grid in RULES.values())
+    by = stored(held.groupBy(F.col("stratum").alias("_stratum")).agg(*counts))
+    strata = by.count()
+    delta = (1 - confidence) / max(1, strata * sum(len(grid) for _, grid in RULES.values()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            columns = []
+            for rule, (_, grid) in RULES.items():
+                found = [[c for k, c in enumerate(grid) if bounded(r[f"{rule}:{k}"], r["n"], risk / len(RULES), delta)] for r in rows]
+                columns.append(pa.array([min(ok, default=None) for ok in found], pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["_stratum", *(f"_cut_{k}" for k in range(len(RULES)))])
 
-    def pick(row) -> dict:
-        found = {}
-        for rule, (_, grid) in RULES.items():
-            ok = [c for k, c in enumerate(grid) if bounded(row[f"{rule}:{k}"] or 0, row["n"] or 0, risk / len(RULES), (1 - confidence) / tests)]
-            if ok:
-                found[rule] = min(ok)
-        return found
+    kind = dict(by.dtypes)["_stratum"]
+    found = stored(by.mapInArrow(run, f"_stratum {kind}, " + ", ".join(f"_cut_{k} double" for k in range(len(RULES)))))
+    return F.broadcast(found) if strata <= FEW else found
 
-    return {r["stratum"]: pick(r) for r in own}, pick(pooled) if pooled["n"] else {}
+
+def cutoffs(scored: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> tuple[dict, dict]:
+    """The cutoffs of proven() on the driver, for a look at them: ({stratum: {rule: cutoff}}, those of all other strata: none)."""
+    rows = proven(scored, labels, risk, confidence).collect()
+    return {r["_stratum"]: {rule: r[f"_cut_{k}"] for k, rule in enumerate(RULES) if r[f"_cut_{k}"] is not None} for r in rows}, {}
 
 
-def verdict(own: dict, pooled: dict) -> Column:
-    """Whether no rule's score is above its cutoff in the document's stratum."""
+def with_cutoffs(scored: DataFrame, found: DataFrame) -> DataFrame:
+    return scored.join(found, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
 
-    def above(found: dict) -> Column:
-        return reduce(Column.__or__, (F.expr(RULES[rule][0]) > F.lit(c) for rule, c in found.items()), F.lit(False))
 
-    by = [F.when(F.col("stratum") == stratum, above(found)) for stratum, found in own.items()]
-    return ~F.coalesce(*by, above(pooled))
+def verdict() -> Column:
+    """Whether no rule's score is above its cutoff in the document's stratum (rows of with_cutoffs)."""
+    above = (F.expr(score) > F.col(f"_cut_{k}") for k, (score, _) in enumerate(RULES.values()))
+    return ~reduce(Column.__or__, (F.coalesce(x, F.lit(False)) for x in above))
 
 
 def rated(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str = "lang", text: str = "text") -> DataFrame:
     """(doc_id, stratum, signals, base_failed, kept) per row of docs; one pass over the texts, whose signals are stored."""
     scored = stored(signals(docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("stratum"), F.col(text).alias("text"))))
-    own, pooled = cutoffs(scored, labels)
-    scored = scored.withColumn("base_failed", base_failed())
-    return scored.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict(own, pooled)))
+    found = with_cutoffs(scored, proven(scored, labels)).withColumn("base_failed", base_failed())
+    return found.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict())).select(*scored.columns, "base_failed", "kept")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,9 +157,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, columns unchanged. The signals are computed twice: cheaper than moving the texts."""
     scored = stored(signals(docs.select("doc_id", F.col("lang").alias("stratum"), "text")))
-    own, pooled = cutoffs(scored, labels)
+    found = proven(scored, labels)
     rated_rows = signals(docs.select(F.struct(*docs.columns).alias("_row"), F.col("lang").alias("stratum"), F.col("text").alias("_text")), "_text")
-    return rated_rows.where(~base_failed() & verdict(own, pooled)).select("_row.*")
+    return with_cutoffs(rated_rows.where(~base_failed()), found).where(verdict()).select("_row.*")
 
 
 QUERIES = {"op9_quality": op9_quality}

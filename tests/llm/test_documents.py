@@ -192,6 +192,19 @@ def test_cutoffs_hold_the_risk(spark):
     assert own["en"]["repeats"] == 0.1
 
 
+def test_every_stratum_has_its_own_cutoffs(spark):
+    clean, odd = " ".join(f"word{i}" for i in range(60)), " ".join(f"word{i}###" for i in range(60))
+    strata = [f"a{k:02}" for k in range(64) for _ in range(40)] + [f"b{k:02}" for k in range(80) for _ in range(39)] + ["en"] * 3000 + ["zz"]
+    rows = [(i, stratum, clean) for i, stratum in enumerate(strata)]
+    others = [(100_001, "zz", odd), (100_002, "qq", odd), (100_003, None, odd), (100_004, "en", odd), (100_005, "en", clean)]
+    docs = spark.createDataFrame(rows + others, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
+    # only en has labels enough for a proof
+    want = {r[0] for r in rows + others} - {100_004}
+    assert {r.doc_id for r in quality.rated(docs, labels).where("kept").collect()} == want
+    assert {r.doc_id for r in quality.good_documents(docs, labels).collect()} == want
+
+
 def test_binomial_tail():
     assert quality.tail(0, 10, 0.1) == pytest.approx(0.9**10)
     assert quality.tail(10, 10, 0.1) == 1.0
