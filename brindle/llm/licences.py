@@ -1,9 +1,10 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 A text's units are its lines, and its paragraphs of several lines, that contain a trigger word. Each is weighed against
-every template by the cosine of TF-IDF vectors over the templates' words; words that no template has count in the
-unit's length with the greatest weight. Document frequencies come from all documents, for the templates' words only, so
-their table is bounded. A unit at or above THRESHOLD names the licence of its best template.
+every template by the cosine of TF-IDF vectors; words that no template has count in the unit's length. Document
+frequencies come from all documents, for every word that a unit or a template has: a first pass lists the units' other
+words by hash, a second counts in how many documents each occurs (only these, if they are counted at most FEW_WORDS, or
+else all words), and the counts are joined to the units' words. A unit at or above THRESHOLD names the licence of its best template.
 
 A licence file is a document whose licensed units hold at least FILE_SHARE of its words; it speaks for its directory.
 Documents without a licence of their own take that of the nearest ancestor directory with a licence file: a document is
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,7 @@ from brindle.llm.common import stored, table
 THRESHOLD = 0.6
 FILE_SHARE = 0.5
 FEW = 50_000  # directories that may be broadcast
+FEW_WORDS = 250_000  # words of units that the count may be limited to by broadcast
 
 #: Licence, template (notices, headers and core paragraphs).
 TEMPLATES = (
@@ -62,6 +65,10 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def hashed(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) - (1 << 63)
+
+
 @cache
 def template_words() -> dict[str, int]:
     return {w: i for i, w in enumerate(sorted({w for _, t in TEMPLATES for w in words_of(t)}))}
@@ -83,9 +90,9 @@ def units_of(text: str) -> Iterator[str]:
 
 
 def scan(docs: DataFrame, text: str) -> DataFrame:
-    """docs without its text, with n_words, terms (ids of template words in the text) and units (template words with counts, other words, all words)."""
+    """docs without its text, with n_words, terms (ids of template words in the text) and units (template words with counts, other words' hashes with counts, all words)."""
     kept = [f for f in docs.schema.fields if f.name not in (text, "n_words", "terms", "units")]
-    unit = pa.list_(pa.struct([("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("others", pa.list_(pa.int32())), ("n_words", pa.int32())]))
+    unit = pa.list_(pa.struct([("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("others", pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int32())]))), ("n_words", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = template_words()
@@ -101,13 +108,13 @@ def scan(docs: DataFrame, text: str) -> DataFrame:
                 for part in units_of(body):
                     count = Counter(words_of(part))
                     inside = {known[w]: n for w, n in count.items() if w in known}
-                    own.append({"terms": list(inside), "counts": list(inside.values()), "others": [n for w, n in count.items() if w not in known], "n_words": sum(count.values())})
+                    own.append({"terms": list(inside), "counts": list(inside.values()), "others": [{"word": hashed(w), "n": n} for w, n in count.items() if w not in known], "n_words": sum(count.values())})
                 units.append(own)
             new = [pa.array(sizes, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(units, unit)]
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(f.name)) for f in kept), *new], [*(f.name for f in kept), "n_words", "terms", "units"])
 
     schema = type(docs.schema)([*kept])
-    ddl = "n_words bigint, terms array<int>, units array<struct<terms:array<int>,counts:array<int>,others:array<int>,n_words:int>>"
+    ddl = "n_words bigint, terms array<int>, units array<struct<terms:array<int>,counts:array<int>,others:array<struct<word:bigint,n:int>>,n_words:int>>"
     for f in type(docs.schema).fromDDL(ddl):
         schema = schema.add(f)
     return docs.mapInArrow(run, schema)
@@ -117,7 +124,6 @@ class Templates:
     """TF-IDF vectors of the templates. frequency: documents that have a word, by its id; total: all documents."""
 
     def __init__(self, frequency: dict[int, int], total: int):
-        self.most = math.log(1 + total) + 1
         self.idf = [math.log((1 + total) / (1 + frequency.get(i, 0))) + 1 for i in range(len(template_words()))]
         self.vectors = []
         for name, text in TEMPLATES:
@@ -125,24 +131,75 @@ class Templates:
             size = math.sqrt(sum(x * x for x in vector.values()))
             self.vectors.append((name, {i: x / size for i, x in vector.items()}))
 
-    def best(self, terms: list[int], counts: list[int], others: list[int]) -> tuple[float, str]:
+    def best(self, terms: list[int], counts: list[int], others: float) -> tuple[float, str]:
+        """others: the sum of squares of the weights of the unit's other words."""
         own = {i: (1 + math.log(n)) * self.idf[i] for i, n in zip(terms, counts, strict=True)}
-        size = math.sqrt(sum(x * x for x in own.values()) + sum(((1 + math.log(n)) * self.most) ** 2 for n in others)) or 1.0
+        size = math.sqrt(sum(x * x for x in own.values()) + others) or 1.0
         return max((sum(x * own.get(i, 0.0) for i, x in vector.items()) / size, name) for name, vector in self.vectors)
 
 
-def rated(found: DataFrame) -> DataFrame:
-    """found (of scan) with licence and score of the best unit, null below THRESHOLD, and licence_words of all units above it."""
+def occurrences(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """(word, df) of the hashes in wanted: in how many rows of docs each word occurs."""
+    spark = docs.sparkSession
+    few = wanted.count() <= FEW_WORDS
+    listed = spark.sparkContext.broadcast(frozenset(r["word"] for r in wanted.collect()) if few else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only, ids, count = listed.value, {}, Counter()
+
+        def flushed() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+            count.clear()
+            return out
+
+        for batch in batches:
+            for x in batch.column(0):
+                for w in set(words_of(x.as_py() or "")):
+                    h = ids.get(w)
+                    if h is None:
+                        h = ids[w] = hashed(w)
+                    if only is None or h in only:
+                        count[h] += 1
+                if len(count) > FEW_WORDS:
+                    yield flushed()
+                if len(ids) > FEW_WORDS:
+                    ids.clear()
+        yield flushed()
+
+    counted = docs.select(text).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("df"))
+    return counted if few else counted.join(wanted, "word", "left_semi")
+
+
+def weighted(found: DataFrame, docs: DataFrame, text: str, total: int) -> DataFrame:
+    """found with others: per unit the sum of squares of the TF-IDF weights of words that no template has."""
+    numbered = stored(found.withColumn("_row", F.monotonically_increasing_id()))
+    words = numbered.select("_row", F.posexplode("units").alias("_unit", "_u")).select("_row", "_unit", F.explode("_u.others").alias("_o"))
+    words = words.select("_row", "_unit", F.col("_o.word").alias("word"), F.col("_o.n").alias("n"))
+    df = stored(occurrences(docs, stored(words.select("word").distinct()), text))
+    weight = (1 + F.log("n")) * (F.log(F.lit(1.0 + total) / (1 + F.coalesce("df", F.lit(0)))) + 1)
+    sums = words.join(df, "word", "left").groupBy("_row", "_unit").agg(F.sum(weight * weight).alias("x"))
+    by_row = sums.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_unit", "x"))).alias("_sums"))
+    none = F.lit(None).cast("map<int,double>")
+    some = numbered.where("size(units) > 0").join(by_row, "_row", "left")
+    every = some.unionByName(numbered.where("size(units) = 0").withColumn("_sums", none))
+    others = F.expr("transform(units, (u, i) -> coalesce(element_at(_sums, i), 0D))")
+    return every.withColumn("others", others).drop("_row", "_sums")
+
+
+def rated(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """found (of scan of docs) with licence and score of the best unit, null below THRESHOLD, and licence_words of all units above it."""
     counted = found.select(F.explode("terms").alias("term")).groupBy("term").count().collect()  # at most a row per template word
-    templates = Templates({r["term"]: r["count"] for r in counted}, found.count())
-    kept = [f for f in found.schema.fields if f.name not in ("units", "terms")]
+    total = found.count()
+    templates = Templates({r["term"]: r["count"] for r in counted}, total)
+    found = weighted(found, docs, text, total)
+    kept = [f for f in found.schema.fields if f.name not in ("units", "terms", "others")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
             licence, score, words = [], [], []
-            for units in batch.column(names.index("units")).to_pylist():
-                best = [(*templates.best(u["terms"], u["counts"], u["others"]), u["n_words"]) for u in units]
+            for units, others in zip(batch.column(names.index("units")).to_pylist(), batch.column(names.index("others")).to_pylist(), strict=True):
+                best = [(*templates.best(u["terms"], u["counts"], x), u["n_words"]) for u, x in zip(units, others, strict=True)]
                 best = [b for b in best if b[0] >= THRESHOLD]
                 top = max(best, default=(None, None, 0))
                 licence.append(top[1])
@@ -159,8 +216,8 @@ def rated(found: DataFrame) -> DataFrame:
 
 def licensed(docs: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """docs without its text, with licence, score, is_file, inherited_from (a directory, if the licence is inherited)."""
-    docs = docs.drop("licence", "score", "licence_words", "is_file", "inherited_from")
-    found = stored(rated(stored(scan(docs, text))))
+    docs = docs.drop("licence", "score", "licence_words", "is_file", "inherited_from", "others")
+    found = stored(rated(stored(scan(docs, text)), docs, text))
     found = found.withColumn("is_file", F.col("licence").isNotNull() & (F.col("licence_words") >= FILE_SHARE * F.col("n_words")))
     directory = F.regexp_extract(path, "^(.*)/[^/]*$", 1)
     files = found.where(F.col("is_file") & F.col(path).isNotNull()).groupBy(directory.alias("_directory"))

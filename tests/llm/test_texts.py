@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import math
 import re
+from collections import Counter
 
 import pytest
 
@@ -129,6 +131,27 @@ def test_licences(spark):
     assert licences.licensed(docs.where("false")).count() == 0
 
 
+def test_every_word_of_a_unit_has_its_document_frequency(spark, monkeypatch):
+    notices = {"MIT": "Released under the MIT License, on en be er.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0, on en be er.", "Proprietary": "All rights reserved, on en be."}
+    texts = [*notices.values(), *["on en be er and so on"] * 400]
+    has = [set(licences.words_of(t)) for t in texts]
+
+    def vector(text):
+        return {w: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + sum(w in x for x in has))) + 1) for w, n in Counter(licences.words_of(text)).items()}
+
+    def cosine(a, b):
+        return sum(x * b.get(w, 0) for w, x in a.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+    docs = spark.createDataFrame([(i, f"{i}/x", t) for i, t in enumerate(texts)], "id int, path string, text string")
+    for few in (licences.FEW_WORDS, 0):
+        monkeypatch.setattr(licences, "FEW_WORDS", few)
+        found = {r.id: r for r in licences.licensed(docs).collect()}
+        assert len(found) == len(texts)
+        for i, (name, text) in enumerate(notices.items()):
+            assert found[i].licence == name
+            assert found[i].score == pytest.approx(max(cosine(vector(t), vector(text)) for _, t in licences.TEMPLATES), abs=2e-6)
+
+
 def test_licence_lines_of_documents(spark, sf_dir):
     names = {"General Public License, version 3": "GPL-3.0", "CC BY-NC 4.0": "CC-BY-NC-4.0", "the MIT License": "MIT", "Apache License, Version 2.0": "Apache-2.0", "All rights reserved.": "Proprietary"}
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
