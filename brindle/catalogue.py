@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.errors import EngineError
 from brindle.functions import scalar
 from brindle.session import Session
 
@@ -42,7 +43,10 @@ DIALECT: dict[str, str] = {
     "join_equi_nestloop": "SET enable_nestloop = true; SELECT s_name, n_name FROM supplier, nation WHERE s_nationkey = n_nationkey;",
     "join_equi_sortmerge": "SET enable_sortmerge = true; SELECT o_orderkey, c_name FROM orders, customer WHERE o_custkey = c_custkey;",
     "join_equi_hash": "SET enable_hashjoin = true; SELECT o_orderkey, c_name FROM orders, customer WHERE o_custkey = c_custkey;",
-    "join_theta": "SELECT s_suppkey, c_custkey FROM supplier, customer WHERE s_suppkey < 10 AND c_custkey < 10 AND s_suppkey != c_custkey;",
+    "join_theta": "SELECT s_suppkey, n_nationkey FROM supplier, nation WHERE s_nationkey < n_nationkey;",
+    "join_theta_hash": "SET enable_hashjoin = true; SELECT s_suppkey, n_nationkey FROM supplier, nation WHERE s_nationkey != n_nationkey;",
+    "join_mixed_int": "SELECT s_name, n_name FROM supplier, nation WHERE s_suppkey = n_nationkey;",
+    "join_mixed_float": "SELECT n_name, l_orderkey, l_linenumber FROM lineitem, nation WHERE l_quantity = n_nationkey;",
     "join_multi_cond": "SELECT s_suppkey, c_custkey FROM supplier, customer WHERE s_nationkey = c_nationkey AND s_suppkey < c_custkey AND s_acctbal > c_acctbal;",
     "join_string_key": "SELECT r_name, n_name FROM region, nation WHERE r_name < n_name AND r_regionkey = n_regionkey;",
     "join_three": "SELECT c_name, o_orderkey, l_linenumber FROM customer, orders, lineitem WHERE c_custkey = o_custkey AND o_orderkey = l_orderkey AND l_quantity > 45.0;",
@@ -50,7 +54,7 @@ DIALECT: dict[str, str] = {
     " WHERE l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA' AND l_quantity > 40.0;",
     "join_keyword": "SELECT r_name, n_name FROM region JOIN nation WHERE r_regionkey = n_regionkey;",
     "cross": "SELECT r_name, n_nationkey FROM region, nation;",
-    "cross_filtered": "SELECT r_name, s_suppkey FROM region JOIN supplier WHERE s_suppkey < 5;",
+    "cross_filtered": "SELECT r_name, n_name FROM region JOIN nation WHERE n_name > 'M';",
     "agg_count": "SELECT COUNT(*) AS n FROM lineitem;",
     "agg_count_col": "SELECT COUNT(c_name) AS n FROM customer;",
     "agg_sum": "SELECT SUM(n_nationkey) AS s FROM nation;",
@@ -85,7 +89,7 @@ ORACLE: dict[str, str] = {
     "unique_order": "SELECT DISTINCT c_mktsegment FROM customer ORDER BY c_mktsegment",
     "unique_hidden_order": "SELECT n_regionkey FROM nation GROUP BY n_regionkey ORDER BY max(n_name) DESC",
     "join_keyword": "SELECT r_name, n_name FROM region, nation WHERE r_regionkey = n_regionkey",
-    "cross_filtered": "SELECT r_name, s_suppkey FROM region, supplier WHERE s_suppkey < 5",
+    "cross_filtered": "SELECT r_name, n_name FROM region, nation WHERE n_name > 'M'",
     "agg_sum": "SELECT CAST(sum(n_nationkey) AS BIGINT) AS s FROM nation",
     "agg_default_names": 'SELECT max(n_nationkey) AS "MAX(n_nationkey)", count(*) AS "COUNT(*)" FROM nation',
     "agg_empty": "SELECT count(*) AS n, CAST(sum(s_nationkey) AS BIGINT) AS s, min(s_name) AS m FROM supplier WHERE s_suppkey < 0",
@@ -103,13 +107,37 @@ CHANGES: dict[str, tuple[str, str]] = {
     "txn_commit": ("BEGIN; DELETE FROM t WHERE k = 3; INSERT INTO t VALUES (50, 'Y', 1); COMMIT;", "SELECT * FROM n WHERE k <> 3 UNION ALL SELECT 50, 'Y', 1"),
     "txn_rollback": ("BEGIN; DELETE FROM t; INSERT INTO t VALUES (50, 'Y', 1); ROLLBACK;", "SELECT * FROM n"),
     "index_unique": ("CREATE INDEX t (k); INSERT INTO t VALUES (60, 'Z', 2);", "SELECT * FROM n UNION ALL SELECT 60, 'Z', 2"),
+    "dml_update_subquery": ("UPDATE t SET r = 9 WHERE k > (SELECT MAX(r_regionkey) FROM region);", "SELECT k, name, CASE WHEN k > (SELECT max(r_regionkey) FROM region) THEN 9 ELSE r END AS r FROM n"),
+    "index_after_changes": ("CREATE INDEX t (k); INSERT INTO t VALUES (60, 'Z', 2); DELETE FROM t WHERE k = 3; UPDATE t SET r = 8 WHERE k = 4;", "SELECT k, name, CASE WHEN k = 4 THEN 8 ELSE r END AS r FROM n WHERE k <> 3 UNION ALL SELECT 60, 'Z', 2"),
     "checkpoint": ("INSERT INTO t VALUES (70, 'C', 0); CREATE STATIC_CHECKPOINT;", "SELECT * FROM n UNION ALL SELECT 70, 'C', 0"),
 }
 
+#: Statements on such a copy whose last is the query, and the SQL of its rows.
+READS: dict[str, tuple[str, str]] = {
+    "index_scan": ("CREATE INDEX t (k); SELECT * FROM t WHERE k = 7;", "SELECT * FROM n WHERE k = 7"),
+    "index_after_insert": ("CREATE INDEX t (k); INSERT INTO t VALUES (60, 'Z', 2); SELECT name, r FROM t WHERE k >= 20;", "SELECT name, r FROM n WHERE k >= 20 UNION ALL SELECT 'Z', 2"),
+    "index_merge_join": (
+        "CREATE TABLE u (j INT, y INT); INSERT INTO u VALUES (3, 30); INSERT INTO u VALUES (24, 31); CREATE INDEX t (k); CREATE INDEX u (j); INSERT INTO u VALUES (7, 32);"
+        " SET enable_sortmerge = true; SELECT name, y FROM t, u WHERE k = j;",
+        "SELECT name, y FROM n, (VALUES (3, 30), (24, 31), (7, 32)) AS u(j, y) WHERE k = j",
+    ),
+    "agg_metadata": ("INSERT INTO t VALUES (80, 'M', 5); SELECT COUNT(*) AS c, MIN(k) AS a, MAX(k) AS b, SUM(r) AS s FROM t;", "SELECT count(*) + 1 AS c, min(k) AS a, 80 AS b, CAST(sum(r) + 5 AS BIGINT) AS s FROM n"),
+    "agg_count_after_delete": ("DELETE FROM t WHERE r = 1; SELECT COUNT(*) AS c FROM t;", "SELECT count(*) AS c FROM n WHERE r <> 1"),
+    "show_tables": ("SHOW TABLES;", f"SELECT unnest({[*TABLES, 't']}) AS \"Tables\""),
+    "drop_table": ("CREATE TABLE u (a INT); DROP TABLE u; SHOW TABLES;", f"SELECT unnest({[*TABLES, 't']}) AS \"Tables\""),
+    "describe": ("CREATE INDEX t (k); DESC t;", "SELECT * FROM (VALUES ('k', 'INT', 'YES'), ('name', 'CHAR(25)', 'NO'), ('r', 'INT', 'NO')) AS d(\"Field\", \"Type\", \"Index\")"),
+    "show_index": ("CREATE INDEX t (k); CREATE INDEX t (name, k); SHOW INDEX FROM t;", "SELECT * FROM (VALUES ('t', 'unique', '(k)'), ('t', 'unique', '(name,k)')) AS d(\"Table\", \"Kind\", \"Columns\")"),
+    "drop_index": ("CREATE INDEX t (k); CREATE INDEX t (name); DROP INDEX t (k); SHOW INDEX FROM t;", "SELECT 't' AS \"Table\", 'unique' AS \"Kind\", '(name)' AS \"Columns\""),
+}
+
 
 def database_folder(spark: SparkSession) -> str:
-    """A new folder for a database, in the folder that the cluster shares."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="database-")
+    """A new folder for a database, in the folder that the cluster shares; a temporary one only where there is no cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise EngineError("spark.checkpoint.dir names no folder that the cluster shares")
+        shared = tempfile.mkdtemp(prefix="database-")
     return f"{shared.rstrip('/')}/database-{uuid.uuid4().hex}"
 
 
@@ -141,6 +169,20 @@ def _changed(statements: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _read(statements: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _copy_of_nation(spark, sf_dir, database_folder(spark)).script(statements)[-1]
+
+    return run
+
+
+def hash_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per brand, how many hashes its rows have, and whether another brand has the same."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", scalar.hash_value(F.col("p_brand"), F.lit(1)).alias("h"))
+    shared = rows.groupBy("h").agg(F.countDistinct("p_brand").alias("brands"))
+    return rows.join(shared, "h").groupBy("p_brand").agg(F.countDistinct("h").alias("hashes"), F.max("brands").alias("brands"))
+
+
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The functions of the column API over part."""
     size, price = F.col("p_size"), F.col("p_retailprice")
@@ -169,11 +211,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: _select(text) for name, text in DIALECT.items()}
     found |= {name: _changed(statements) for name, (statements, _) in CHANGES.items()}
-    return found | {"flagship": flagship, "load_tbl": _changed(""), "scalar_functions": scalar_functions}
+    return found | {"flagship": flagship, "load_tbl": _changed(""), "scalar_functions": scalar_functions, "hash_function": hash_function} | {name: _read(statements) for name, (statements, _) in READS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     nation = "WITH n AS (SELECT n_nationkey AS k, n_name AS name, n_regionkey AS r FROM nation) "
     found = {name: ORACLE.get(name, text.split(";")[-2].strip()) for name, text in DIALECT.items()}
-    found |= {name: nation + sql for name, (_, sql) in CHANGES.items()}
+    found |= {name: nation + sql for name, (_, sql) in (CHANGES | READS).items()}
+    found["hash_function"] = "SELECT DISTINCT p_brand, CAST(1 AS BIGINT) AS hashes, CAST(1 AS BIGINT) AS brands FROM part"
     return found | {"flagship": FLAGSHIP.rstrip(";"), "load_tbl": nation + "SELECT * FROM n", "scalar_functions": SCALAR_SQL}
