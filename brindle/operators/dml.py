@@ -13,7 +13,7 @@ from brindle.functions.scalar import arithmetic
 from brindle.plans.binder import Binder, Predicate, Query, kind_of, kind_of_value
 from brindle.plans.build import Builder
 from brindle.sources import delimited
-from brindle.sources.catalog import Catalog, ColumnMeta, TableMeta, add_index, collect_statistics
+from brindle.sources.catalog import NUMERIC, Catalog, ColumnMeta, Statistics, TableMeta, add_index, collect_statistics, merged_statistics
 from brindle.sql import ast
 
 
@@ -55,8 +55,15 @@ class Writer:
             if rows.groupBy(*(F.col(f"`{c}`") for c in index)).count().where("count > 1").limit(1).count():
                 raise DuplicateKey(f"{table.name}.({','.join(index)})")
 
-    def _replace(self, table: TableMeta, paths: tuple[str, ...], statistics=None, buckets=None) -> None:
-        self.catalog.put(replace(table, paths=paths, statistics=statistics, buckets=buckets))
+    def check_new(self, table: TableMeta, rows: DataFrame) -> None:
+        """New rows against one another and, by a semi join on the key, against those of the table."""
+        self.check_unique(table, rows)
+        for index in table.indexes if table.paths else ():
+            keys = rows.select([F.col(f"`{c}`") for c in index])
+            old = self.catalog.read(table.name).select([F.col(f"`{c}`").alias(f"_old{k}") for k, c in enumerate(index)])
+            same = [F.col(f"`{c}`") == F.col(f"_old{k}") if table.column(c).not_null else F.col(f"`{c}`").eqNullSafe(F.col(f"_old{k}")) for k, c in enumerate(index)]
+            if keys.join(old, same, "left_semi").limit(1).count():
+                raise DuplicateKey(f"{table.name}.({','.join(index)})")
 
     # --- statements
 
@@ -75,13 +82,18 @@ class Writer:
                 rows = rows.where(F.col(f"`{c}`") == F.lit(own[c]).cast(table.column(c).type))
             if rows.limit(1).count():
                 raise DuplicateKey(f"{table.name}.({','.join(index)})")
-        self._replace(table, (*table.paths, self.catalog.write(table, row)))
+        made = replace(table, paths=(*table.paths, self.catalog.write(table, row, level="level0-")), statistics=_with_row(table, own))
+        self.catalog.put(self.catalog.merged(made))
         return 1
 
-    def _matching(self, table: TableMeta, where) -> tuple[DataFrame, Column]:
-        """Rows under their own names, with _hit: whether the conditions hold. Subqueries in IN are joined for a mark."""
+    def _matching(self, table: TableMeta, where, files: list[str] | None = None) -> tuple[DataFrame, Column]:
+        """Rows under their own names, with _file and _hit: whether the conditions hold. Subqueries in IN are joined for a mark."""
         predicates = self.binder.where(where, (table.name,))
-        rows = self.builder.scan(table.name)
+        rows = self.catalog.read(table.name)
+        source = F.col("_metadata.file_name") if table.paths else F.lit("")
+        if files is not None:  # the others aren't even listed
+            rows = rows.where(source.isin(*files))
+        rows = rows.select(source.alias("_file"), *(F.col(f"`{c.name}`").alias(f"{table.name}__{c.name}") for c in table.columns))
         hit: Column = F.lit(True)
         for k, p in enumerate(predicates):
             if p.op == "IN" and not isinstance(p.right, tuple):
@@ -94,14 +106,25 @@ class Writer:
             else:
                 hit = hit & self.builder.holds(p)
         names = [F.col(f"`{table.name}__{c.name}`").alias(c.name) for c in table.columns]
-        return rows.select(*names, F.coalesce(hit, F.lit(False)).alias("_hit")), F.col("_hit")
+        return rows.select("_file", *names, F.coalesce(hit, F.lit(False)).alias("_hit")), F.col("_hit")
+
+    def _hits(self, table: TableMeta, where) -> tuple[int, list[str]]:
+        """How many rows a change takes, and the names of the files that hold them."""
+        rows, hit = self._matching(table, where)
+        found = rows.where(hit).groupBy("_file").count().collect()  # at most a row for each file
+        return sum(r["count"] for r in found), sorted(r["_file"] for r in found)
 
     def delete(self, s: ast.Delete) -> int:
+        """Writes anew the files that lose some of their rows; all others stay."""
         table = self.catalog.table(self.binder.table_name(s.table))
-        rows, hit = self._matching(table, s.where)
-        n = rows.where(hit).count()
+        n, files = self._hits(table, s.where)
         if n:
-            self._replace(table, (self.catalog.write(table, rows.where(~hit)),))
+            statistics = table.statistics and Statistics(table.statistics.rows - n, whole=False)
+            rest = None
+            if s.where:
+                rows, hit = self._matching(table, s.where, files)
+                rest = self.catalog.write(table, rows.where(~hit))
+            self.catalog.put(replace(self.catalog.replaced(table, files, rest), statistics=statistics))
         return n
 
     def update(self, s: ast.Update) -> int:
@@ -119,13 +142,18 @@ class Writer:
             else:
                 self.check_value(column, a.value.value)
                 changes[column.name] = F.lit(a.value.value).cast(column.type)
-        rows, hit = self._matching(table, s.where)
-        n = rows.where(hit).count()
+        n, files = self._hits(table, s.where)
         if n:
+            rows, hit = self._matching(table, s.where, files)
             # every right side reads the old values
             new = rows.select([(F.when(hit, changes[c.name]).otherwise(F.col(f"`{c.name}`")) if c.name in changes else F.col(f"`{c.name}`")).alias(c.name) for c in table.columns])
-            self.check_unique(table, new, [i for i in table.indexes if set(i) & changes.keys()])
-            self._replace(table, (self.catalog.write(table, new),))
+            keyed = [i for i in table.indexes if set(i) & changes.keys()]
+            if keyed:  # new keys may meet those of files that stay
+                every, _ = self._matching(table, s.where)
+                stays = every.where(~F.col("_file").isin(*files)).select(new.columns)
+                self.check_unique(table, new.unionByName(stays), keyed)
+            statistics = table.statistics and Statistics(table.statistics.rows, whole=False)
+            self.catalog.put(replace(self.catalog.replaced(table, files, self.catalog.write(table, new)), statistics=statistics))
         return n
 
     def load(self, s: ast.Load) -> int:
@@ -134,13 +162,13 @@ class Writer:
             path = self.catalog.write(table, delimited.read(self.catalog.spark, s.path, table))
         except PySparkException as fault:
             raise LoadFault(f"{s.path}: {str(fault).splitlines()[0]}") from fault
-        rows = self.catalog.spark.read.schema(table.schema).parquet(path)
+        rows = self.catalog.plain(table, self.catalog.spark.read.schema(table.schema).parquet(path))
         self.check_rows(table, rows)
-        loaded = replace(table, paths=(*table.paths, path))
-        every = self.catalog.spark.read.schema(table.schema).parquet(*loaded.paths)
-        self.check_unique(table, every)
-        self._replace(loaded, loaded.paths, collect_statistics(every, table))
-        return rows.count()
+        self.check_new(table, rows)
+        own = collect_statistics(rows, table)
+        known = table.statistics if table.paths else Statistics(0)
+        self.catalog.put(replace(table, paths=(*table.paths, path), statistics=merged_statistics(self.catalog.spark, known, own)))
+        return own.rows
 
     def create_index(self, s: ast.CreateIndex) -> None:
         """Checks uniqueness and deals the table out by the key, sorted: the layout of an index-merge join."""
@@ -149,19 +177,32 @@ class Writer:
         made = add_index(table, columns)
         rows = self.catalog.read(table.name)
         self.check_unique(table, rows, [columns])
-        if not table.paths:
-            return self._replace(made, table.paths, table.statistics)
-        self._replace(made, *self._dealt(table, rows, columns))
+        laid_out = table.buckets and table.buckets[1] in table.indexes
+        self.catalog.put(made if laid_out else self._dealt(made, rows, columns))
 
-    def _dealt(self, table: TableMeta, rows: DataFrame, columns: tuple[str, ...]):
-        """Paths, statistics and buckets of a table laid out by a key."""
+    def _dealt(self, table: TableMeta, rows: DataFrame, columns: tuple[str, ...]) -> TableMeta:
+        """The table laid out by a key: one snapshot, to which later ones of the same buckets are added."""
         n = int(self.catalog.spark.conf.get("spark.sql.shuffle.partitions"))
-        return (self.catalog.write_buckets(table, rows, columns, n),), table.statistics, (n, columns)
+        paths = (self.catalog.write_buckets(table, rows, n, columns),) if table.paths else ()
+        return replace(table, paths=paths, buckets=(n, columns), dead=())
 
     def compact(self) -> None:
         """Tables of several snapshots become one, laid out by their first index if they have one."""
         for table in list(self.catalog.tables.values()):
-            if len(table.paths) > 1:
+            if len(table.paths) > 1 or table.dead:
                 rows = self.catalog.read(table.name)
-                made = self._dealt(table, rows, table.indexes[0]) if table.indexes else ((self.catalog.write(table, rows),), table.statistics)
-                self._replace(table, *made)
+                if table.indexes:
+                    self.catalog.put(self._dealt(table, rows, table.indexes[0]))
+                else:
+                    flat = replace(table, buckets=None)
+                    self.catalog.put(replace(flat, paths=(self.catalog.write(flat, rows),), dead=()))
+
+
+def _with_row(table: TableMeta, values: dict[str, object]) -> Statistics | None:
+    """The table's statistics with one row more; its distinct counts stay as they are, an estimate."""
+    old = table.statistics if table.paths else Statistics(0)
+    if old is None or not old.whole:
+        return old and replace(old, rows=old.rows + 1)
+    own = {c.name: values[c.name] for c in table.columns if c.type in NUMERIC and values[c.name] is not None}
+    fold = {"least": min, "most": max, "total": lambda x, y: x + y}
+    return replace(old, rows=old.rows + 1, **{m: getattr(old, m) | {n: f(getattr(old, m)[n], v) if n in getattr(old, m) else v for n, v in own.items()} for m, f in fold.items()})

@@ -187,11 +187,145 @@ def test_index_merge_join_needs_no_exchange(spark, tmp_path):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Exchange" not in plan
         assert rows.count() == 500
-    # an insertion makes a second snapshot; a checkpoint deals the table out again
-    session.execute("INSERT INTO a VALUES (1000, 1);")
-    assert session.query("SELECT * FROM a;").count() == 501 and session.catalog.table("a").buckets is None
-    session.execute("CREATE STATIC_CHECKPOINT;")
-    assert session.query("SELECT * FROM a;").count() == 501 and session.catalog.table("a").buckets
+    # changes keep the layout: joins need no exchange
+    session.script("INSERT INTO a VALUES (1000, 1); DELETE FROM a WHERE k = 3; UPDATE a SET x = 0 WHERE k = 4;")
+    (tmp_path / "a.tbl").write_text("2000|1|\n2001|2|\n")
+    session.load(str(tmp_path / "a.tbl"), "a")
+    for _ in range(2):
+        rows = session.query("SELECT x, y FROM a, b WHERE k = j;")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and rows.count() == 499
+        assert session.query("SELECT * FROM a;").count() == 502
+        looked_up = session.query("SELECT x FROM a WHERE k = 4;")
+        assert "EqualTo(k,4)" in looked_up._jdf.queryExecution().executedPlan().toString() and looked_up.first().x == 0
+        session.execute("CREATE STATIC_CHECKPOINT;")
+        assert session.catalog.table("a").buckets and not session.catalog.table("a").dead
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("brindle_")]
+
+
+def test_another_sessions_commit_is_seen(spark, tmp_path):
+    a = Session(spark, str(tmp_path / "db"))
+    a.script("CREATE TABLE t (x INT);")
+    b = Session(spark, a.catalog.root)
+    assert values(b, "SELECT * FROM t;") == []
+    a.execute("INSERT INTO t VALUES (1);")
+    assert values(b, "SELECT * FROM t;") == [(1,)]
+    # single statements of two sessions follow one another
+    b.execute("INSERT INTO t VALUES (2);")
+    a.execute("DELETE FROM t WHERE x = 1;")
+    assert values(b, "SELECT * FROM t;") == [(2,)]
+    # a transaction keeps to what it began with
+    b.execute("BEGIN;")
+    assert values(b, "SELECT * FROM t;") == [(2,)]
+    a.execute("INSERT INTO t VALUES (3);")
+    assert values(b, "SELECT * FROM t;") == [(2,)]
+    b.execute("COMMIT;")
+    assert sorted(values(b, "SELECT * FROM t;")) == [(2,), (3,)]
+
+
+def test_write_skew_is_refused(spark, tmp_path):
+    a = Session(spark, str(tmp_path / "db"))
+    a.script("CREATE TABLE t (x INT); CREATE TABLE u (x INT); INSERT INTO t VALUES (1); INSERT INTO u VALUES (1);")
+    b = Session(spark, a.catalog.root)
+    for session, read, write in ((a, "t", "u"), (b, "u", "t")):
+        session.execute("BEGIN;")
+        assert values(session, f"SELECT COUNT(*) FROM {read};") == [(1,)]
+        session.execute(f"DELETE FROM {write};")
+    a.execute("COMMIT;")
+    with pytest.raises(errors.TransactionAbort):
+        b.execute("COMMIT;")
+    assert (values(b, "SELECT * FROM t;"), values(b, "SELECT * FROM u;")) == ([(1,)], [])
+
+
+def test_changes_rewrite_only_files_with_hits(spark, tmp_path):
+    session = Session(spark, str(tmp_path / "db"))
+    session.execute("CREATE TABLE t (k INT, x INT);")
+    for part in range(3):
+        (tmp_path / "t.tbl").write_text("".join(f"{part * 100 + i}|{i}|\n" for i in range(100)))
+        session.load(str(tmp_path / "t.tbl"), "t")
+        session.wait()
+    before = session.catalog.table("t").paths
+    session.script("DELETE FROM t WHERE k = 105; UPDATE t SET x = 1000 WHERE k = 107;")
+    after = session.catalog.table("t")
+    assert after.paths[:2] == (before[0], before[2]) and len(after.paths) == 3 and not after.dead
+    assert sorted(values(session, "SELECT * FROM t;")) == [(i, 1000 if i == 107 else i % 100) for i in range(300) if i != 105]
+    session.execute("DELETE FROM t;")
+    assert values(session, "SELECT COUNT(*) FROM t;") == [(0,)] and not session.catalog.table("t").paths
+
+
+def test_insertions_are_merged(spark, tmp_path, monkeypatch):
+    from brindle.sources import catalog
+
+    monkeypatch.setattr(catalog, "FAN", 3)
+    session = Session(spark, str(tmp_path / "db"))
+    session.script("CREATE TABLE t (k INT NOT NULL); CREATE INDEX t (k);" + "".join(f"INSERT INTO t VALUES ({i});" for i in range(10)))
+    assert len(session.catalog.table("t").paths) == 2
+    assert sorted(values(session, "SELECT * FROM t;")) == [(i,) for i in range(10)]
+    with pytest.raises(errors.DuplicateKey):
+        session.execute("INSERT INTO t VALUES (4);")
+
+
+def test_aggregates_from_statistics_need_no_scan(school, spark, tmp_path):
+    def plan(session, text):
+        return session.query(text)._jdf.queryExecution().executedPlan().toString()
+
+    text = "SELECT COUNT(*), MIN(s_age), MAX(s_age), SUM(s_id) FROM student;"
+    assert "FileScan" not in plan(school, text) and values(school, text) == [(7, 21, 35, 24)]
+    assert "FileScan" in plan(school, "SELECT COUNT(*) FROM student WHERE s_age > 30;") and "FileScan" in plan(school, "SELECT MAX(s_name) FROM student;")
+    session = Session(spark, str(tmp_path / "db"))
+    session.script("CREATE TABLE t (k INT, f FLOAT); INSERT INTO t VALUES (5, 1.5); INSERT INTO t VALUES (-2, 2.5);")
+    (tmp_path / "t.tbl").write_text("9|0.5|\n7|0.25|\n")
+    session.load(str(tmp_path / "t.tbl"), "t")
+    assert values(session, "SELECT COUNT(*), MIN(k), MAX(k), SUM(k), MAX(f) FROM t;") == [(4, -2, 9, 19, 2.5)]
+    assert "FileScan" not in plan(session, "SELECT MIN(k) FROM t;") and "FileScan" in plan(session, "SELECT SUM(f) FROM t;")
+    session.execute("DELETE FROM t WHERE k = 9;")
+    assert "FileScan" in plan(session, "SELECT MAX(k) FROM t;") and values(session, "SELECT MAX(k) FROM t;") == [(7,)]
+    assert "FileScan" not in plan(session, "SELECT COUNT(*) FROM t;") and values(session, "SELECT COUNT(*) FROM t;") == [(3,)]
+
+
+def test_every_error_of_loads_shows(spark, tmp_path):
+    session = Session(spark, str(tmp_path / "db"))
+    session.execute("CREATE TABLE t (a INT, b VARCHAR(3) NOT NULL);")
+    for name, body in (("one", "x|y|\n"), ("two", "1|long|\n"), ("three", "1|abc|\n")):
+        (tmp_path / f"{name}.tbl").write_text(body)
+        session.load(str(tmp_path / f"{name}.tbl"), "t")
+    with pytest.raises(errors.LoadFault) as found:
+        session.execute("SHOW TABLES;")
+    assert [type(e) for e in found.value.others] == [errors.StringTooLong]
+    assert values(session, "SELECT * FROM t;") == [(1, "abc")]
+
+
+def test_a_negative_square_root_is_an_error(spark):
+    from pyspark.sql import functions as F
+
+    from brindle.functions import scalar
+
+    with pytest.raises(Exception, match="negative"):
+        spark.range(1).select(scalar.square_root(F.lit(-1.0))).collect()
+
+
+def test_clients_over_tcp(spark, tmp_path):
+    import socket
+    import threading
+
+    from brindle.server import serve
+
+    with serve(spark, str(tmp_path / "db"), 0) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+
+        def ask(client, text):
+            client.sendall(text.encode())
+            got = b""
+            while not got.endswith(b"\0"):
+                got += client.recv(4096)
+            return got[:-1].decode()
+
+        with socket.create_connection(server.server_address) as one, socket.create_connection(server.server_address) as two:
+            assert ask(one, "CREATE TABLE t (a INT, b CHAR(3));") == ""
+            assert ask(one, "INSERT INTO t VALUES (1, ';');") == "1 row(s)\n"
+            assert "Total record(s): 1" in ask(two, "SELECT * FROM t;")
+            assert ask(two, "SELECT * FROM nowhere;") == "Table not found: nowhere\n"
+        server.shutdown()
 
 
 def test_load_faults_show_in_the_next_statement(spark, tmp_path):
