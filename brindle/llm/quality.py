@@ -1,29 +1,28 @@
 """Quality rules with risk-controlled thresholds, in DataFrame and SQL functions only.
 
 Base signals per document come from one pass over the text. Rules score a document by ratios of these signals, higher
-is worse. Labelled documents (quality 1 is good) are the holdout: per stratum and rule, a cutoff is tried from a fixed
-grid, and the exact binomial (Clopper-Pearson) upper bound of its false rejection rate must stay within the rule's
-share of the allowed risk. Both the risk and the error probability are divided over the rules (the verdict rejects on
-any of them), and the error probability over all strata and cutoffs too (Bonferroni), so that with the stated
-confidence no stratum loses more than the stated share of its good documents to these rules. The lowest cutoff that
-passes is taken; a rule without one never rejects. Documents that the base rule rejects anyway are not in the holdout.
-
-The holdout is every labelled document. Every stratum has its own counts and cutoffs, in a table that is joined back by
-stratum (broadcast if counted at most FEW); only the number of strata reaches the driver. A stratum without good labels,
-or with too few for a proof, loses nothing but what the base rule rejects.
-
-Nulls and edge cases: a null stratum is one of its own; a null text has no words and fails the base rule; null labels and null doc_ids are left out of
-the holdout; a document labelled twice counts once, as good if any of its labels is; without labels no rule rejects;
-repeated rows give repeated rows.
+is worse. STEPS is one fixed sequence of ever stricter rule sets: each step adds a rule with a cutoff, and a document is
+rejected by a step if any rule up to it is above its cutoff. Labelled documents (quality 1 is good) are the holdout. Per
+stratum, the steps are tested in their order: of the good documents that the base rule leaves, the share that a step
+rejects by all its rules together must, by its exact binomial (Clopper-Pearson) upper bound, stay within RISK. The first
+step that fails ends the sequence, so one error probability serves all steps of a stratum (fixed-sequence testing); it
+is divided over the strata that are tested (Bonferroni): those with labels enough that a step without any false
+rejection could pass. So with the stated confidence no stratum loses more than RISK of its good documents. All proven
+steps hold together, so any may be taken: the one with the most bad less good labelled documents rejected, the loosest
+of equals. A stratum without a proven step loses nothing but what the base rule rejects.
+
+The holdout is every labelled document. Every stratum has its own counts and step, in a table that is joined back by
+stratum (broadcast if counted at most FEW); only the number of tested strata reaches the driver.
+
+Nulls and edge cases: a null stratum is one of its own; a null text has no words and fails the base rule; null labels
+and null doc_ids are left out of the holdout; a document labelled twice counts once, as good if any of its labels is;
+without labels no step is proven; repeated rows give repeated rows; columns of docs with the signals' names are replaced.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +33,16 @@ CONFIDENCE = 0.95
 FEW = 50_000  # strata whose cutoffs may be broadcast
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
-#: Name, score (higher is worse), cutoffs to try.
-RULES = {
-    "symbols": ("n_symbols / n_words", (0.1, 0.3, 0.5, 1.0, 1.5, 2.0)),
-    "repeats": ("n_repeat_words / n_words", (0.1, 0.2, 0.3, 0.4)),
-    "lines": ("n_dup_lines / n_lines", (0.1, 0.2, 0.3, 0.5)),
-    "long words": ("word_chars / n_words", (8.0, 10.0, 12.0, 15.0, 20.0)),
-}
+#: Scores, higher is worse.
+SCORES = {"symbols": "n_symbols / n_words", "repeats": "n_repeat_words / n_words", "lines": "n_dup_lines / n_lines", "long words": "word_chars / n_words"}
+
+#: The fixed sequence: score and cutoff that each step adds, coarse ones of all scores first.
+STEPS = (
+    ("symbols", 2.0), ("symbols", 1.0), ("repeats", 0.4), ("lines", 0.5), ("long words", 20.0),
+    ("symbols", 0.5), ("symbols", 0.3), ("symbols", 0.1), ("repeats", 0.3), ("lines", 0.3), ("long words", 15.0), ("long words", 12.0),
+    ("repeats", 0.2), ("lines", 0.2), ("long words", 10.0), ("repeats", 0.1), ("long words", 8.0),
+)
+LEFT_OUT = 20  # terms of a binomial tail that are summed, in standard deviations; what follows is bounded
 
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
@@ -87,64 +89,70 @@ def base_failed() -> Column:
     return F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
 
 
-def tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X binomial (n, p)."""
-    if k >= n:
-        return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+def first_step() -> Column:
+    """The first of STEPS that rejects a document, null if none does."""
+    cases = " ".join(f"when {SCORES[score]} > {cutoff} then {k}" for k, (score, cutoff) in enumerate(STEPS))
+    return F.expr(f"case {cases} end")
 
 
-def bounded(k: int, n: int, risk: float, delta: float) -> bool:
-    """Whether the Clopper-Pearson upper bound at confidence 1 - delta of k of n is at most risk."""
-    return k < n * risk and tail(k, n, risk) <= delta
+def _log_gamma(x: str) -> str:
+    """SQL: the logarithm of the gamma function of x >= 1, by Stirling's series at x + 10."""
+    y = f"({x} + 10d)"
+    series = f"({y} - 0.5d) * ln({y}) - {y} + {0.5 * math.log(2 * math.pi)!r}d + 1 / (12 * {y}) - 1 / (360 * pow({y}, 3)) + 1 / (1260 * pow({y}, 5)) - 1 / (1680 * pow({y}, 7))"
+    return f"({series} - ({' + '.join(f'ln({x} + {i}d)' for i in range(10))}))"
 
 
-def proven(scored: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
-    """(_stratum, _cut_0, _cut_1, ...): the cutoffs of every stratum with good labels in the order of RULES, null where none is proven."""
-    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
-    held = scored.where(~base_failed()).join(good, "doc_id", "left_semi")
-    counts = [F.count(F.lit(1)).alias("n")]
-    counts += [F.count_if(F.expr(score) > c).alias(f"{rule}:{k}") for rule, (score, grid) in RULES.items() for k, c in enumerate(grid)]
-    by = stored(held.groupBy(F.col("stratum").alias("_stratum")).agg(*counts))
-    strata = by.count()
-    delta = (1 - confidence) / max(1, strata * sum(len(grid) for _, grid in RULES.values()))
+def binomial_tail(k: str, n: str, p: float) -> str:
+    """SQL: P(X <= k) for X binomial (n, p) and k < n p; exact, or above it by a bound of what LEFT_OUT leaves out."""
+    k, n = f"double({k})", f"double({n})"
+    log_term = f"{_log_gamma(f'({n} + 1)')} - {_log_gamma(f'({k} + 1)')} - {_log_gamma(f'({n} - {k} + 1)')} + {k} * {math.log(p)!r}d + ({n} - {k}) * {math.log1p(-p)!r}d"
+    ratio = f"({k} - j) / ({n} - {k} + j + 1) * {(1 - p) / p!r}d"  # of the term of k - j - 1 to that of k - j
+    many = f"least({k}, ceil({LEFT_OUT} * sqrt({n} * {p * (1 - p)!r}d)) + 100)"
+    step = f"named_struct('term', a.term * {ratio}, 'sum', a.sum + a.term * {ratio}, 'ratio', {ratio})"
+    rest = f"if({many} < {k}, a.term * a.ratio / (1 - a.ratio), 0d)"
+    sums = f"aggregate(if({k} > 0, sequence(0, int({many}) - 1), cast(array() as array<int>)), named_struct('term', 1d, 'sum', 1d, 'ratio', 0d), (a, j) -> {step}, a -> a.sum + {rest})"
+    return f"least(1d, exp({log_term}) * {sums})"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            columns = []
-            for rule, (_, grid) in RULES.items():
-                found = [[c for k, c in enumerate(grid) if bounded(r[f"{rule}:{k}"], r["n"], risk / len(RULES), delta)] for r in rows]
-                columns.append(pa.array([min(ok, default=None) for ok in found], pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["_stratum", *(f"_cut_{k}" for k in range(len(RULES)))])
 
-    kind = dict(by.dtypes)["_stratum"]
-    found = stored(by.mapInArrow(run, f"_stratum {kind}, " + ", ".join(f"_cut_{k} double" for k in range(len(RULES)))))
-    return F.broadcast(found) if strata <= FEW else found
+def proven(scored: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
+    """(_stratum, _step): per stratum with labels the step of STEPS that is taken, null if none is proven."""
+    judged = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") >= 1).alias("_good"))
+    held = scored.where(~base_failed()).join(judged, "doc_id").withColumn("_first", first_step())
+    last = range(len(STEPS))
+    counts = [F.count_if("_good").alias("n")]
+    counts += [F.array(*(F.count_if((F.col("_good") == good) & (F.col("_first") <= k)) for k in last)).alias(name) for name, good in (("k", True), ("bad", False))]
+    by = stored(held.groupBy(F.col("stratum").alias("_stratum")).agg(*counts))
+    tested = by.where(f"n * {math.log1p(-risk)!r}d <= {math.log(1 - confidence)!r}d").count()
+    delta = (1 - confidence) / max(1, tested)
+    passes = f"k[i] < n * {risk!r}d and {binomial_tail('k[i]', 'n', risk)} <= {delta!r}d"
+    # how many steps pass before the first that doesn't
+    by = by.withColumn("steps", F.expr(f"aggregate(sequence(0, {len(STEPS) - 1}), 0, (a, i) -> if(a = i and {passes}, a + 1, a))"))
+    best = "array_max(transform(sequence(0, steps - 1), i -> named_struct('gain', bad[i] - k[i], 'loose', -i)))"
+    return by.select("_stratum", F.expr(f"if(steps > 0, -{best}.loose, null)").alias("_step"))
 
 
-def cutoffs(scored: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> tuple[dict, dict]:
-    """The cutoffs of proven() on the driver, for a look at them: ({stratum: {rule: cutoff}}, those of all other strata: none)."""
-    rows = proven(scored, labels, risk, confidence).collect()
-    return {r["_stratum"]: {rule: r[f"_cut_{k}"] for k, rule in enumerate(RULES) if r[f"_cut_{k}"] is not None} for r in rows}, {}
+def cutoffs(scored: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> dict:
+    """The steps of proven() on the driver, for a look at them: {stratum: {score: cutoff}}."""
+    steps = {r["_stratum"]: r["_step"] for r in proven(scored, labels, risk, confidence).collect()}
+    return {stratum: dict(STEPS[: step + 1]) if step is not None else {} for stratum, step in steps.items()}
 
 
-def with_cutoffs(scored: DataFrame, found: DataFrame) -> DataFrame:
-    return scored.join(found, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
+def with_steps(scored: DataFrame, labels: DataFrame) -> DataFrame:
+    """scored with _step, the step of each row's stratum."""
+    found = stored(proven(scored, labels))
+    found = F.broadcast(found) if found.count() <= FEW else found
+    return scored.join(found, F.col("stratum").eqNullSafe(F.col("_stratum")), "left").drop("_stratum")
 
 
 def verdict() -> Column:
-    """Whether no rule's score is above its cutoff in the document's stratum (rows of with_cutoffs)."""
-    above = (F.expr(score) > F.col(f"_cut_{k}") for k, (score, _) in enumerate(RULES.values()))
-    return ~reduce(Column.__or__, (F.coalesce(x, F.lit(False)) for x in above))
+    """Whether the step of the document's stratum leaves it (rows of with_steps)."""
+    return ~F.coalesce(first_step() <= F.col("_step"), F.lit(False))
 
 
 def rated(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str = "lang", text: str = "text") -> DataFrame:
     """(doc_id, stratum, signals, base_failed, kept) per row of docs; one pass over the texts, whose signals are stored."""
     scored = stored(signals(docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("stratum"), F.col(text).alias("text"))))
-    found = with_cutoffs(scored, proven(scored, labels)).withColumn("base_failed", base_failed())
+    found = with_steps(scored, labels).withColumn("base_failed", base_failed())
     return found.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict())).select(*scored.columns, "base_failed", "kept")
 
 
@@ -155,11 +163,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are kept, columns unchanged. The signals are computed twice: cheaper than moving the texts."""
-    scored = stored(signals(docs.select("doc_id", F.col("lang").alias("stratum"), "text")))
-    found = proven(scored, labels)
-    rated_rows = signals(docs.select(F.struct(*docs.columns).alias("_row"), F.col("lang").alias("stratum"), F.col("text").alias("_text")), "_text")
-    return with_cutoffs(rated_rows.where(~base_failed()), found).where(verdict()).select("_row.*")
+    """The documents that are kept, columns unchanged. What passes the base rule is stored with its signals, as they cost more than the writing."""
+    row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id"), F.col("lang").alias("stratum"), F.col("text").alias("_text"))
+    scored = stored(signals(row, "_text").where(~base_failed()))
+    return with_steps(scored, labels).where(verdict()).select("_row.*")
 
 
 QUERIES = {"op9_quality": op9_quality}

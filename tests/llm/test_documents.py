@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -179,17 +181,82 @@ def test_quality_verdicts(spark, docs):
     assert quality.rated(empty(docs), labels.where("false")).count() == 0
 
 
+def scored_table(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
+
+
+def exact_tail(k, n, p):
+    """P(X <= k) in exact fractions."""
+    p = Fraction(p)
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def plain_steps(rows, labels):
+    """Brute force of the fixed-sequence tests: {stratum: (proven steps, the step that is taken)}."""
+    quality_of = {}
+    for doc, q in labels:
+        if doc is not None and q is not None:
+            quality_of[doc] = max(q, quality_of.get(doc, 0))
+
+    def rejected(r, step):
+        ratios = {"symbols": r[4] / r[2], "repeats": r[7] / r[2], "lines": r[6] / r[5], "long words": r[3] / r[2]}
+        return any(ratios[score] > cutoff for score, cutoff in quality.STEPS[: step + 1])
+
+    held = {}
+    for r in rows:
+        if r[0] in quality_of and not (r[2] < 50 or 100 * r[7] > 50 * r[2]):
+            held.setdefault(r[1], []).append((r, quality_of[r[0]]))
+    good = {s: [r for r, q in own if q] for s, own in held.items()}
+    tested = sum(0.98 ** len(own) <= 0.05 for own in good.values())
+    out = {}
+    for s, own in held.items():
+        proven, n = [], len(good[s])
+        for step in range(len(quality.STEPS)):
+            k = sum(rejected(r, step) for r in good[s])
+            if not (k < 0.02 * n and exact_tail(k, n, "0.02") <= Fraction(5, 100) / tested):
+                break
+            proven.append((sum(rejected(r, step) for r, q in own if not q) - k, -step))
+        out[s] = len(proven), -max(proven)[1] if proven else None
+    return out
+
+
+def test_steps_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows, labels = [], []
+    for stratum, n, odd in (("many", 4000, 0.012), ("some", 400, 0.0), ("few", 230, 0.0), ("too few", 148, 0.0), ("mixed", 1500, 0.022), (None, 600, 0.006), ("bad only", 0, 0.0)):
+        for i in range(n + 60):
+            is_good = i < n
+            strange = rng.random() < (odd if is_good else 0.7)
+            words = int(rng.integers(40, 400))
+            kind = int(rng.integers(0, 4)) if strange else -1
+            rows.append((len(rows), stratum, words, words * (14 if kind == 3 else 6), words * 3 if kind == 0 else 0, 20, 9 if kind == 2 else 0, words // 4 if kind == 1 else 0))
+            labels.append((len(rows) - 1, int(is_good)))
+    labels += [(None, 1), (5, None), (10**9, 1), (7, 0)]
+    want = plain_steps(rows, labels)
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    found = {r["_stratum"]: r["_step"] for r in quality.proven(scored_table(spark, rows), table).collect()}
+    assert found == {s: step for s, (_, step) in want.items()}
+    assert found["some"] is not None and found["too few"] is None and found["bad only"] is None and 0 < want["mixed"][0] < len(quality.STEPS)
+
+
 def test_cutoffs_hold_the_risk(spark):
-    good, bad = [], []
-    for i in range(6000):
-        symbols = 0 if i % 400 else 400
-        (good if i < 5000 else bad).append((i, "en" if i % 2 else "fr", 200, 1000, symbols if i < 5000 else 450, 10, 0, 0))
-    scored = spark.createDataFrame(good + bad, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
-    labels = spark.createDataFrame([(r[0], 1) for r in good] + [(r[0], 0) for r in bad], "doc_id long, quality int")
-    own, _ = quality.cutoffs(scored, labels)
-    # 13 of 2500 good documents have symbols: too many for the rule's share of the risk, so its cutoff lies above them
-    assert own["fr"].get("symbols", 2.0) >= 2.0 and own["en"]["symbols"] == 0.1
-    assert own["en"]["repeats"] == 0.1
+    """Of documents drawn anew from the same source, good ones are rejected within the risk, bad ones mostly."""
+    rng = np.random.default_rng(4)
+
+    def drawn(n, at):
+        out = []
+        for i in range(n):
+            good, odd = rng.random() < 0.7, rng.random()
+            symbols = int(200 * (rng.random() * 0.4 if odd < 0.03 else 0)) if good else int(200 * rng.random() * 3)
+            out.append(((at + i, "en", 200, 1000, symbols, 10, 0, 0), good))
+        return out
+
+    first, second = drawn(3000, 0), drawn(20_000, 10_000)
+    labels = spark.createDataFrame([(r[0], int(good)) for r, good in first], "doc_id long, quality int")
+    own = quality.cutoffs(scored_table(spark, [r for r, _ in first]), labels)["en"]
+    rejected = [good for r, good in second if r[4] / 200 > own["symbols"]]
+    assert sum(rejected) / sum(good for _, good in second) <= quality.RISK
+    assert rejected.count(False) / sum(not good for _, good in second) > 0.8
 
 
 def test_every_stratum_has_its_own_cutoffs(spark):
@@ -205,10 +272,15 @@ def test_every_stratum_has_its_own_cutoffs(spark):
     assert {r.doc_id for r in quality.good_documents(docs, labels).collect()} == want
 
 
-def test_binomial_tail():
-    assert quality.tail(0, 10, 0.1) == pytest.approx(0.9**10)
-    assert quality.tail(10, 10, 0.1) == 1.0
-    assert quality.bounded(0, 1000, 0.01, 0.001) and not quality.bounded(0, 100, 0.01, 0.001) and not quality.bounded(10, 1000, 0.01, 0.5)
+def test_binomial_tail(spark, monkeypatch):
+    cases = [(k, n) for n in (1, 2, 10, 150, 1000, 5000) for k in {0, 1, n // 100, n // 60} if k < n * 0.02]
+    table = spark.createDataFrame(cases, "k long, n long")
+    found = {(r.k, r.n): r.x for r in table.selectExpr("k", "n", f"{quality.binomial_tail('k', 'n', 0.02)} x").collect()}
+    for k, n in cases:
+        assert found[k, n] == pytest.approx(float(exact_tail(k, n, "0.02")), rel=1e-9)
+    monkeypatch.setattr(quality, "LEFT_OUT", 0)  # terms left out are bounded from above
+    short = spark.createDataFrame([(190, 10_000)], "k long, n long").selectExpr(f"{quality.binomial_tail('k', 'n', 0.02)} x").first().x
+    assert 0 <= short / float(exact_tail(190, 10_000, "0.02")) - 1 < 1e-6
 
 
 # --- personal data
