@@ -3,11 +3,13 @@
 A window is WINDOW consecutive bytes of one document; every byte under a window that also starts elsewhere goes.
 
 1. Anchors. Of each window, the GRAM with the least hash (leftmost of equals) is its anchor, so equal windows have the
-   same anchor at the same offset, and a document has an anchor about every 180 bytes. An anchor's context is all that
-   its windows cover. Anchors meet by the hash of their gram: equal contexts are repeats of one another. Each task
-   first sorts what it has, and one record stands for all equal contexts that it has seen, so exact copies and passages
-   shared by many documents cost a record per flush of a task.
-2. Suffixes. An anchor whose context is the only one of its kind, but not the only one of its gram, needs comparison.
+   same anchor at the same offset, and a document has an anchor about every 180 bytes. An anchor's windows are dealt into
+   PARTS ranges of offsets; the bytes that all windows of a range have in common (gram and neighbourhood) are its key,
+   the bytes that any of them covers its context. Ranges meet by the hash of their key, so a gram that occurs in very
+   many surroundings is split by these; equal contexts are repeats of one another. Each task first sorts what it has, and
+   one record stands for all equal contexts that it has seen, so exact copies and passages shared by many documents cost
+   a record per flush of a task.
+2. Suffixes. A range whose context is the only one of its kind, but not the only one of its key, needs comparison.
    The suffixes that begin at such anchors, and their reversed prefixes, are each sorted: multikey quicksort on 8-byte
    keys to SHALLOW bytes, then a blind trie for each group of longer common prefixes. With both orders and the lengths
    of common prefixes, two windows at offset o are equal if the anchors' suffixes are in one class at depth WINDOW - o and
@@ -15,13 +17,14 @@ A window is WINDOW consecutive bytes of one document; every byte under a window
 3. Removal. The spans found in 1 and 2 meet their document.
 
 Nulls and edge cases: a null text counts as empty; texts under WINDOW bytes lose nothing; rows with a null doc_id are
-left as they are and take nothing from others; rows that repeat a doc_id with equal text count as one document, with
-unequal text as several; matches never cross documents.
+left as they are and take nothing from others; every other row is a document of its own, so of rows that repeat a doc_id
+with its text each has all its windows elsewhere too; matches never cross documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +37,16 @@ from brindle.llm.common import dealt, release, stored, table, text_bytes
 
 WINDOW, GRAM = 400, 48
 GRAMS = WINDOW - GRAM + 1  # in a window
+PARTS = 2  # ranges of a window's offsets
 SHALLOW = 64
 SMALL_SORT = 24  # groups up to this size go to the trie at once
 BLOCK = 1 << 20  # windows whose anchors are sought at once
 FLUSH = 1 << 18  # anchors that a task sorts at once
 BUCKET_BYTES = 16 << 20  # of text, for each bucket
 
+#: Bounds of the ranges: of range i, offsets CUTS[i] to CUTS[i + 1] - 1.
+CUTS = [GRAMS * i // PARTS for i in range(PARTS + 1)]
+
 ANCHOR = np.dtype([("doc", "<i8"), ("text", "<u8"), ("hash", "<u8"), ("c1", "<u8"), ("c2", "<u8"), ("at", "<i4"), ("lo", "<u2"), ("hi", "<u2"), ("many", "?")])
 
 _ODD = 0x9E3779B97F4A7C15
@@ -82,10 +89,23 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def key_of(data: bytes, at: int, part: int) -> int:
+    """The hash of what all windows of an anchor's range have in common."""
+    return xxhash.xxh3_64_intdigest(data[at - CUTS[part] : at - CUTS[part + 1] + 1 + WINDOW], part)
+
+
 def anchor_records(doc: int, data: bytes) -> np.ndarray:
-    h, at, lo, hi = anchors(data)
-    rec = np.zeros(len(h), ANCHOR)
-    rec["doc"], rec["text"], rec["hash"], rec["at"], rec["lo"], rec["hi"] = doc, xxhash.xxh3_64_intdigest(data), h, at, lo, hi
+    _, at, lo, hi = anchors(data)
+    ranges = []
+    for part in range(PARTS):
+        a, b = np.maximum(lo, CUTS[part]), np.minimum(hi, CUTS[part + 1] - 1)
+        has = a <= b
+        ranges.append((at[has], a[has], b[has], np.full(int(has.sum()), part)))
+    at, lo, hi, part = (np.concatenate(x) for x in zip(*ranges, strict=True))
+    rec = np.zeros(len(at), ANCHOR)
+    places = at.tolist()
+    keys = [key_of(data, a, p) for a, p in zip(places, part.tolist(), strict=True)]
+    rec["doc"], rec["text"], rec["hash"], rec["at"], rec["lo"], rec["hi"] = doc, xxhash.xxh3_64_intdigest(data), keys, at, lo, hi
     digest = xxhash.xxh3_128_digest
     both = b"".join(digest(data[a:b]) for a, b in zip((at - hi).tolist(), (at - lo + WINDOW).tolist(), strict=True))
     pairs = np.frombuffer(both, "<u8").reshape(-1, 2)
@@ -131,6 +151,7 @@ def _sorted(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def send_anchors(buckets: int):
     """Rows to send (bucket, payload), and rows that the task answers itself (bucket -1)."""
+    at_once = FLUSH
 
     def flushed(parts: list[np.ndarray]) -> pa.RecordBatch:
         rec, first = _sorted(np.concatenate(parts))
@@ -154,7 +175,7 @@ def send_anchors(buckets: int):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 parts.append(anchor_records(doc, bytes_of(text.as_py())))
                 n += len(parts[-1])
-                if n >= FLUSH:
+                if n >= at_once:
                     yield flushed(parts)
                     parts, n = [], 0
         if n:
@@ -185,7 +206,7 @@ def meet_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = ((np.diff(np.r_[starts, len(rec)]) > 1) | np.logical_or.reduceat(rec["many"], starts))[run]
         gone = many & ~rec["many"]
         group = np.flatnonzero(_changes(rec["hash"]))
-        # a gram with several contexts, of which at least one is the only one of its kind
+        # a key with several contexts, of which at least one is the only one of its kind
         mixed = (np.add.reduceat(first.astype(int), group) > 1) & np.logical_or.reduceat(~many, group)
         ask = mixed[np.cumsum(_changes(rec["hash"])) - 1] & first
         for part in (_rows(rec[gone], _spans(rec[gone]), "gone"), _rows(rec[ask], _places(rec[ask]), "ask")):
@@ -203,9 +224,9 @@ def send_contexts(buckets: int):
                 mark = xxhash.xxh3_64_intdigest(data)
                 places = asked.values.to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 3)
                 for at, lo, hi in places.tolist():
-                    gram = xxhash.xxh3_64_intdigest(data[at : at + GRAM])
-                    rec = np.array([(doc, mark, gram, 0, 0, at, lo, hi, False)], ANCHOR)
-                    out.setdefault((gram >> 20) % buckets, []).append(rec.tobytes() + data[at - hi : at - lo + WINDOW])
+                    key = key_of(data, at, bisect_right(CUTS, lo) - 1)
+                    rec = np.array([(doc, mark, key, 0, 0, at, lo, hi, False)], ANCHOR)
+                    out.setdefault((key >> 20) % buckets, []).append(rec.tobytes() + data[at - hi : at - lo + WINDOW])
             packed = {b: np.array([len(x) for x in parts], "<u4") for b, parts in out.items()}
             blobs = [np.uint32(len(parts)).tobytes() + packed[b].tobytes() + b"".join(parts) for b, parts in out.items()]
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "payload"])
@@ -383,22 +404,25 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out_of = np.cumsum(mark[:-1]) > 0
                 gone, spans = int(out_of.sum()), int((np.diff(np.r_[0, out_of.astype(np.int8)]) == 1).sum())
                 kept = np.frombuffer(data, np.uint8)[~out_of].tobytes()
-            out.append((len(data), gone, spans, hashlib.sha256(kept).hexdigest(), kept))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            out.append((len(data), gone, spans, hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "replace")))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
         arrays = [pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text"])
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of docs (doc_id bigint, text); kept: the remaining bytes."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, text) per row of docs (doc_id bigint, text).
+
+    kept: the remaining bytes; text: the same as a string, with U+FFFD for a character of which a part went.
+    """
     docs = docs.select("doc_id", "text")
     spans = stored(repeated_spans(docs))
     release(docs.sparkSession)
-    return _met(docs, spans, "left").mapInArrow(_without, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return _met(docs, spans, "left").mapInArrow(_without, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, text string")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """400-byte strings over all documents."""
+    """400-byte strings over all documents; text is what remains."""
     return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 

@@ -380,26 +380,50 @@ def test_every_difference_has_a_cover_pair():
             assert any((i + d) % 7 in substring_dedup.COVER and (j + d) % 7 in substring_dedup.COVER for d in range(7))
 
 
-def test_suffix_dedup(spark, docs, texts):
-    data = {}
-    for d, t in texts:
-        data[d] = suffix_dedup.bytes_of(t)
-    count = Counter(b[i : i + 400] for b in data.values() for i in range(len(b) - 399))
-    want = []
-    for d, _ in texts:
-        b = data[d]
+def plain_bytes_without(rows):
+    """Brute force: every row is a document."""
+    data = [suffix_dedup.bytes_of(t) for _, t in rows]
+    count = Counter(b[i : i + 400] for b in data for i in range(len(b) - 399))
+    out = []
+    for (d, _), b in zip(rows, data, strict=True):
         gone = np.zeros(len(b), bool)
         for i in range(len(b) - 399):
             if count[b[i : i + 400]] > 1:
                 gone[i : i + 400] = True
         spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
-        want.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
-    # rows that repeat an id with the same text are several starts of one string to the operator, so they are left out here
-    found = suffix_dedup.without_repeats(docs.dropDuplicates(["doc_id"])).collect()
-    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == sorted(set(want))
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        out.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("flush", [1 << 18, 50])
+def test_suffix_dedup(spark, docs, texts, monkeypatch, flush):
+    monkeypatch.setattr(suffix_dedup, "FLUSH", flush)
+    found = suffix_dedup.without_repeats(docs)
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
+    assert sorted(tuple(r[c] for c in names) for r in found.collect()) == plain_bytes_without(texts)
     assert suffix_dedup.without_repeats(empty(docs)).count() == 0
 
 
+def test_a_passage_in_many_surroundings(spark):
+    """Shared passages of lengths around the window, each with other text before and behind, some of which is shared too."""
+    rng = np.random.default_rng(2)
+
+    def letters(n):
+        return "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+
+    common, tails = letters(520), [letters(200) for _ in range(4)]
+    rows = []
+    for i in range(150):
+        a = int(rng.integers(0, 250))
+        b = a + int(rng.integers(200, 520 - a + 1))
+        rows.append((i, letters(int(rng.integers(0, 300))) + tails[i % 4][i % 50 :] + common[a:b] + tails[(i // 4) % 4][: 30 + i] + letters(int(rng.integers(0, 300)))))
+    rows += [(1000, "é" * 300 + common), (1001, "è" * 150 + "é" * 250 + common)]
+    found = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
+    assert sorted(tuple(r[c] for c in names) for r in found) == plain_bytes_without(rows)
+
+
 @given(st.lists(st.binary(max_size=12).map(lambda b: bytes(x % 3 for x in b) * 9), min_size=1, max_size=60))
 @settings(max_examples=100, deadline=None)
 def test_deep_shallow_order(texts):
