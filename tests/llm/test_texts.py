@@ -103,6 +103,81 @@ def test_html_of_all_pages(spark, sf_dir):
     assert html_text.extracted(spark.createDataFrame([(None, None, None)], "page_id bigint, url string, html string")).first().text == ""
 
 
+SENTENCE = "It was the best of the times and it was the worst of the times, and so it went on for all of them."
+
+
+@pytest.mark.parametrize(
+    "inside, want",
+    [
+        (f'<div class="share-price-analysis"><h2>Q3</h2><p>{SENTENCE}</p><p>Up.</p></div>', f"Q3\n\n{SENTENCE}\n\nUp."),
+        (f'<div id="legal-history"><p>{SENTENCE}</p><p>1789.</p></div>', f"{SENTENCE}\n\n1789."),
+        (f'<section class="search"><p>{SENTENCE}</p></section>', SENTENCE),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>", "Let x=2 be."),
+        ("<p>a <object data=x>fallback</object> and <video src=y>no video</video> <noscript>plain</noscript></p>", "a fallback and no video plain"),
+        (f'<div class="share"><a href=x>Tweet</a></div><div class="comment-list"><p>{SENTENCE}</p></div><p>End.</p>', "End."),
+        ('<div class="ad">Buy</div><button>Press</button><select><option>a<option>b</select><p>x', "x"),
+        ("<div>one <button>press</div><p>two", "one\n\ntwo"),
+        ('<p title="a > b" class=\'x\'>c</p><p data-x=">">d</p>', "c\n\nd"),
+        ("<header><h1>Title</h1></header><p>text</p><aside>by the side</aside><footer>foot</footer>", "Title\n\ntext"),
+    ],
+)
+def test_html_inside_an_article(inside, want):
+    assert html_text.main_text(f"<html><head><title>t</title></head><body><nav><a href=a>home</a></nav><article><p>{SENTENCE}</p>{inside}</article></body>") == f"{SENTENCE}\n\n{want}"
+
+
+def test_html_without_an_article():
+    whole = f"<body><div><a href=a>one</a> <a href=b>two</a></div><div>An ad</div><h1>Title</h1><p>{SENTENCE}</p><p>Yes.</p><p>{SENTENCE}</p><div>© 2024 The owners of all of this and that</div>"
+    assert html_text.main_text(whole) == f"Title\n\n{SENTENCE}\n\nYes.\n\n{SENTENCE}"
+    assert html_text.main_text(f'<form id="all">{whole}</form>') == html_text.main_text(whole)
+    assert html_text.main_text(f"<p>{SENTENCE}</p><form>Your name and the name of your dog, if you have one with you as you are</form>") == SENTENCE
+    other = " ".join(f"szo{i}" for i in range(60))
+    assert html_text.main_text(f"<div>{other}</div><ul><li><a href=a>x</a></ul><div>{other} b</div>") == f"{other}\n\n{other} b"
+    assert html_text.main_text(f"<p>{SENTENCE}</p><pre>{'x = f(y); ' * 30}</pre><p>{SENTENCE}</p>").count("f(y)") == 30
+    assert html_text.main_text("<head><p>a word") == "a word"
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    pages = [
+        "<div><b>" * 100_000 + "x" + "</i></b></div>" * 100_000,
+        '<a ">' * 100_000,
+        "<a x=\"'>" * 100_000,
+        "<!-- <" * 100_000,
+        "<script>" * 50_000,
+        "<template>" * 20_000,
+        "<p class='a" + " b" * 200_000 + "'>c",
+        "<" * 300_000,
+        "<button><p>x" * 50_000,
+    ]
+    for page in pages:
+        began = time.time()
+        html_text.main_text(f"<article><p>{SENTENCE}</p>{page}")
+        assert time.time() - began < 20
+
+
+def test_block_rules_carry_pages_without_region_marks(spark, sf_dir):
+    """With article, nav, footer and classes turned into plain div, 0.9 of the article's blocks stay and 0.9 of the others go."""
+    import html as references
+
+    def plain(x):
+        return " ".join(references.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split())
+
+    counts = Counter()
+    for r in spark.read.parquet(f"{sf_dir}/../sf0.01/pages.parquet").collect():
+        article = re.search(r"<article>(.*?)(?:</article>|$)", r.html, re.S)
+        outside = r.html.replace(article[0], "")
+        others = [plain(x) for x in re.findall(r"<li>(.*?)</li>", outside) + re.findall(r'<div class="?ad"?>(.*?)</div>', outside, re.S) + re.findall(r"<footer>(.*?)(?:</footer>|$)", outside, re.S)]
+        bare = re.sub(r"<div [^>]*>", "<div>", re.sub(r"<(/?)(?:article|nav|footer)\b[^>]*>", r"<\1div>", r.html))
+        got = Counter(html_text.main_text(bare).split("\n\n"))
+        for kind, blocks in (("own", [x for x in map(plain, re.split(r"</?(?:p|h1)>", article[1])) if x]), ("other", [x for x in others if x])):
+            for x in blocks:
+                counts[kind] += 1
+                counts[kind, "kept"] += got[x] > 0
+                got[x] -= got[x] > 0
+    assert counts["own", "kept"] >= 0.9 * counts["own"] and counts["other", "kept"] <= 0.1 * counts["other"]
+
+
 def day(text):
     return datetime.date.fromisoformat(text)
 
