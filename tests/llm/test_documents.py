@@ -43,20 +43,62 @@ def empty(docs):
 # --- decontamination
 
 
+def plain_contamination(texts, items, window=10):
+    """Brute force: (words, hit words, sorted items) per text."""
+    fold = lambda t: tuple(re.sub(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", " ", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")).split(" "))
+    words_of = lambda t: tuple(w for w in fold(t) if w)
+    patterns = {}
+    for item, text in items:
+        words, name = words_of(text), "" if item is None else str(item)
+        for i in range(max(1, len(words) - window + 1) if words else 0):
+            patterns.setdefault(words[i : i + window], set()).add(name)
+    out = []
+    for text in texts:
+        words, hit, found = words_of(text), set(), set()
+        for m in {len(p) for p in patterns}:
+            for i in range(len(words) - m + 1):
+                if words[i : i + m] in patterns:
+                    hit.update(range(i, i + m))
+                    found |= patterns[words[i : i + m]]
+        out.append((len(words), len(hit), sorted(found)))
+    return out
+
+
 def test_decontamination(spark, docs, texts, sf_dir, monkeypatch):
-    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()] + [(900, PASSAGE), (901, "word3 of"), (902, None), (903, "--"), (None, "ab ab ab"), (904, "passage")]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()] + [(900, PASSAGE), (900, PASSAGE), (901, "word3 of"), (902, None), (903, "--"), (None, "ab ab ab"), (904, "passage")]
+    bench.append((905, " ".join(t for _, t in texts[5:25] if t)))  # a large item
     table = spark.createDataFrame(bench, "item_id bigint, text string")
-    want = decontaminate.brute_force(dict(enumerate(t for _, t in texts)), {("" if i is None else i): t for i, t in bench})
-    expected = sorted((d, *want[k][:3]) for k, (d, _) in enumerate(texts))
-    found = [(r.doc_id, r.n_words, r.n_hit, len(r["items"])) for r in decontaminate.contamination(docs, table).collect()]
-    assert sorted(found) == expected
-    monkeypatch.setattr(decontaminate, "PATTERN_BLOCK_BYTES", 2000)  # several blocks of patterns
-    assert sorted((r.doc_id, r.n_words, r.n_hit, len(r["items"])) for r in decontaminate.contamination(docs, table).collect()) == expected
+    want = plain_contamination([t for _, t in texts], bench)
+    expected = sorted((d, *want[k]) for k, (d, _) in enumerate(texts))
+
+    def found():
+        return sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(docs, table).collect())
+
+    assert found() == expected
+    monkeypatch.setattr(decontaminate, "PIECE", 100)
+    for few in (decontaminate.FEW, 0):  # several passes, hits broadcast and shuffled
+        monkeypatch.setattr(decontaminate, "PASS_BYTES", 20_000)
+        monkeypatch.setattr(decontaminate, "FEW", few)
+        assert found() == expected
     assert decontaminate.clean_documents(docs, table).columns == docs.columns
     assert decontaminate.contamination(docs, table.where("false")).where("n_hit > 0").count() == 0
     assert decontaminate.contamination(empty(docs), table).count() == 0
 
 
+def test_a_large_benchmark_takes_few_passes(spark, monkeypatch):
+    """20 MB of one item; a scan for each 8 MB, and every planted window found."""
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in rng.integers(0, 50_000, 3_400_000).tolist()]
+    picks = rng.integers(0, len(words) - 12, 50).tolist()
+    docs = [(k, "x y z " + " ".join(words[at : at + 12]) + " q") for k, at in enumerate(picks)] + [(100, "x y z q " * 5)]
+    built = []
+    made = decontaminate.WuManber.__init__
+    monkeypatch.setattr(decontaminate.WuManber, "__init__", lambda self, *a: built.append(1) or made(self, *a))
+    rows = decontaminate.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(7, " ".join(words))], "item_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.n_hit, r["items"]) for r in rows) == [*((k, 12, ["7"]) for k in range(50)), (100, 0, [])]
+    assert len(built) == 3
+
+
 @given(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=5), min_size=1, max_size=5), st.lists(st.sampled_from("abcd"), max_size=40))
 @settings(max_examples=200, deadline=None)
 def test_wu_manber_finds_every_occurrence(patterns, text):

@@ -10,6 +10,7 @@ from collections import Counter
 import pytest
 
 from brindle.llm import html_text, licences, pieces, registry, url_filter
+from brindle.llm.common import stored
 
 
 @pytest.fixture(scope="module")
@@ -246,7 +247,7 @@ def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.stored(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
         assert docs.count() <= before
         before = docs.count()
