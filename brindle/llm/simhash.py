@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import near_sets
-from brindle.llm.common import stored, table
+from brindle.llm.common import settled, stored, table
 from brindle.llm.components import components
 
 SEED, CHECK_SEED = 42, 43
@@ -226,10 +226,14 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     Rows are told apart by doc_id and text together, so rows that share a doc_id, or have none, stay if they are unlike.
     """
     own = ["_id", "_h", "_g"]
-    rows, roots = near_sets.groups(docs, **STAGE)
-    counted = rows.join(roots, "s", "left").groupBy(F.coalesce("root", "s").alias("_root"), *own).agg(F.count(F.lit(1)).alias("n"))
-    first = counted.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("last"), *own, "n")).alias("r"))
-    found = stored(first.select(*(F.col(f"r.{c}").alias(f"r{c}") for c in own), F.col("r.n").alias("n")))
+
+    def representatives() -> DataFrame:
+        rows, roots = near_sets.groups(docs, **STAGE)
+        counted = rows.join(roots, "s", "left").groupBy(F.coalesce("root", "s").alias("_root"), *own).agg(F.count(F.lit(1)).alias("n"))
+        first = counted.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("last"), *own, "n")).alias("r"))
+        return first.select(*(F.col(f"r.{c}").alias(f"r{c}") for c in own), F.col("r.n").alias("n"))
+
+    found = settled(docs.sparkSession, representatives)
     same = [F.col(c).eqNullSafe(F.col(f"r{c}")) for c in own]
     marked = near_sets.identified(docs)
     kept = marked.join(found.where("n = 1"), same, "left_semi").select(*docs.columns)

@@ -6,10 +6,10 @@ cover positions (modulo v). So sequences of WINDOW - v + 1 words are hashed at c
 windows share an aligned anchor. An anchor that occurs in two documents extends to all windows that contain it; these
 are compared by 128 bits of hash over all their words, and all but those of the smallest id are repeats.
 
-Hashes travel in packed blobs by bucket, and so do the answers, by a bucket of their documents. Each task first sorts what it has: of a hash that it sees in
-several documents, one record stands for all, so a passage that a third of the documents share costs a record per
-flush of a task, not one per document. Buckets grow in number with the text, not in size. The texts move twice, to meet
-the answers about them; nothing about all documents reaches the driver.
+Hashes travel in packed blobs by bucket, and so do the answers, by a bucket of their documents. Each task first sorts
+what it has: of a hash that it sees in several documents, one record stands for all, so a passage that a third of the
+documents share costs a record per flush of a task, not one per document. Buckets and partitions grow in number with the
+text, not in size. The texts move twice, to meet the answers about them; nothing about all documents reaches the driver.
 
 Nulls and edge cases: a null or empty text has no words (kept_sha256 of the empty string); a row with null doc_id loses
 nothing and takes nothing from others; rows that repeat a doc_id are judged each by its own text against other ids.
@@ -26,13 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import dealt, release, stored, table, text_bytes
+from brindle.llm.common import dealt, release, settled, stored, table, text_bytes
 
 WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)  # every difference modulo 7 is one of two cover positions
 SPAN = WINDOW - PERIOD + 1  # words under an anchor
 FLUSH = 1 << 19  # records that a task sorts at once
 BUCKET_BYTES = 8 << 20  # of text, for each bucket
+PARTITION_BYTES = 64 << 20  # of text, for each partition of an exchange, which takes several buckets
 
 _ODD_A, _ODD_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -247,20 +248,21 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows["doc"]), pa.array(rows["text"].astype(np.int64)), lists], ["doc_id", "text_hash", "at"])
 
 
-def _exchanged(sent: DataFrame, wide: bool, n: int) -> DataFrame:
+def _exchanged(sent: DataFrame, wide: bool, n: int, homes: int) -> DataFrame:
     """(doc_id, text_hash, at) per document: all answers, from the tasks themselves and from the buckets."""
-    answers = dealt(sent, n).sortWithinPartitions("bucket").mapInArrow(_answer(wide, n), SENT)
+    answers = dealt(sent, n).sortWithinPartitions("bucket").mapInArrow(_answer(wide, homes), SENT)
     return dealt(answers, n).sortWithinPartitions("bucket").mapInArrow(_gather, "doc_id bigint, text_hash bigint, at array<int>")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, at) of documents with repeated windows, at their first words. docs: doc_id bigint, text."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(n, text_bytes(docs) // BUCKET_BYTES + 1)
+    size = text_bytes(docs)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PARTITION_BYTES + 1)
+    buckets = max(n, size // BUCKET_BYTES + 1)  # and as many homes of documents
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(buckets, n, False)
+        sender = Sender(buckets, buckets, False)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
@@ -271,7 +273,7 @@ def repeats(docs: DataFrame) -> DataFrame:
             yield sender.flush()
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(buckets, n, True)
+        sender = Sender(buckets, buckets, True)
         for batch in batches:
             for doc, text, hits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 text = text.as_py()
@@ -282,10 +284,10 @@ def repeats(docs: DataFrame) -> DataFrame:
             yield sender.flush()
 
     named = docs.where("doc_id is not null and text is not null")
-    hits = stored(_exchanged(named.mapInArrow(send_anchors, SENT), False, n))
+    hits = stored(_exchanged(named.mapInArrow(send_anchors, SENT), False, n, buckets))
     release(spark)
     met = _met(named, hits, "inner").select("doc_id", "text", "at")
-    return _exchanged(met.mapInArrow(send_windows, SENT), True, n)
+    return _exchanged(met.mapInArrow(send_windows, SENT), True, n, buckets)
 
 
 def _met(docs: DataFrame, answers: DataFrame, how: str) -> DataFrame:
@@ -323,7 +325,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) per row of docs (doc_id bigint, text)."""
     docs = docs.select("doc_id", "text")
-    removed = stored(repeats(docs))
+    removed = settled(docs.sparkSession, lambda: repeats(docs))
     release(docs.sparkSession)
     return _met(docs, removed, "left").select("doc_id", "text", "at").mapInArrow(_kept, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import dealt, release, stored, table, text_bytes
+from brindle.llm.common import dealt, release, settled, stored, table, text_bytes
 
 WINDOW, GRAM = 400, 48
 GRAMS = WINDOW - GRAM + 1  # in a window
@@ -43,6 +43,7 @@ SMALL_SORT = 24  # groups up to this size go to the trie at once
 BLOCK = 1 << 20  # windows whose anchors are sought at once
 FLUSH = 1 << 18  # anchors that a task sorts at once
 BUCKET_BYTES = 16 << 20  # of text, for each bucket
+PARTITION_BYTES = 128 << 20  # of text, for each partition of an exchange, which takes several buckets
 
 #: Bounds of the ranges: of range i, offsets CUTS[i] to CUTS[i + 1] - 1.
 CUTS = [GRAMS * i // PARTS for i in range(PARTS + 1)]
@@ -376,8 +377,9 @@ def _grouped(rows: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, at): starts and stops, in turn, of what is repeated; they may overlap. docs: doc_id bigint, text."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(n, text_bytes(docs) // BUCKET_BYTES + 1)
+    size = text_bytes(docs)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PARTITION_BYTES + 1)
+    buckets = max(n, size // BUCKET_BYTES + 1)
     named = docs.where("doc_id is not null and text is not null")
     sent = stored(named.mapInArrow(send_anchors(buckets), f"bucket int, payload binary, {TOLD}"))
     asked = dealt(sent.where("bucket >= 0").select("bucket", "payload"), n).sortWithinPartitions("bucket")
@@ -416,7 +418,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     kept: the remaining bytes; text: the same as a string, with U+FFFD for a character of which a part went.
     """
     docs = docs.select("doc_id", "text")
-    spans = stored(repeated_spans(docs))
+    spans = settled(docs.sparkSession, lambda: repeated_spans(docs))
     release(docs.sparkSession)
     return _met(docs, spans, "left").mapInArrow(_without, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, text string")
 
