@@ -207,25 +207,55 @@ def test_licences(spark):
     assert licences.licensed(docs.where("false")).count() == 0
 
 
-def test_every_word_of_a_unit_has_its_document_frequency(spark, monkeypatch):
-    notices = {"MIT": "Released under the MIT License, on en be er.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0, on en be er.", "Proprietary": "All rights reserved, on en be."}
-    texts = [*notices.values(), *["on en be er and so on"] * 400]
-    has = [set(licences.words_of(t)) for t in texts]
+def plain_licences(texts):
+    """Brute force over every line and paragraph: (licence, score, words of licensed units) of each text."""
+    split = lambda t: re.findall("[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    has = [set(split(t)) for t in texts]
+    frequency = Counter(w for words in has for w in words)
 
     def vector(text):
-        return {w: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + sum(w in x for x in has))) + 1) for w, n in Counter(licences.words_of(text)).items()}
+        return {w: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + frequency[w])) + 1) for w, n in Counter(split(text)).items()}
 
     def cosine(a, b):
-        return sum(x * b.get(w, 0) for w, x in a.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
-
-    docs = spark.createDataFrame([(i, f"{i}/x", t) for i, t in enumerate(texts)], "id int, path string, text string")
-    for few in (licences.FEW_WORDS, 0):
-        monkeypatch.setattr(licences, "FEW_WORDS", few)
-        found = {r.id: r for r in licences.licensed(docs).collect()}
-        assert len(found) == len(texts)
-        for i, (name, text) in enumerate(notices.items()):
-            assert found[i].licence == name
-            assert found[i].score == pytest.approx(max(cosine(vector(t), vector(text)) for _, t in licences.TEMPLATES), abs=2e-6)
+        return sum(x * b.get(w, 0) for w, x in a.items()) / math.sqrt((sum(x * x for x in a.values()) * sum(x * x for x in b.values())) or 1)
+
+    templates = [(name, vector(t)) for name, t in licences.TEMPLATES]
+    out = []
+    for text in texts:
+        best, covered = (0, ""), 0
+        for block in re.split(r"\n(?:[ \t\v\f\r]*\n)+|^(?:[ \t\v\f\r]*\n)+", text or ""):
+            lines = [x for x in block.split("\n") if x.strip(" \t\v\f\r")]
+            scores = [max((cosine(t, vector(u)), name) for name, t in templates) for u in (*lines, block)]
+            best = max(best, *((round(x, 6), name) for x, name in scores)) if lines else best
+            own = [len(split(u)) for u, (x, _) in zip(lines, scores, strict=False) if x >= 0.6]
+            covered += len(split(block)) if scores[-1][0] >= 0.6 else sum(own)
+        out.append((best[1], best[0], covered) if best[0] >= 0.6 else (None, None, 0))
+    return out
+
+
+@pytest.mark.parametrize("few", [licences.FEW_WORDS, 0])
+def test_licences_equal_brute_force(spark, sf_dir, monkeypatch, few):
+    monkeypatch.setattr(licences, "FEW_WORDS", few)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    mit, bsd, gpl = (t for _, t in (licences.TEMPLATES[1], licences.TEMPLATES[18], licences.TEMPLATES[8]))
+    texts += ["Released under the MIT License, on en be er.", "Licensed under CC BY-NC 4.0, on en be er.", "All rights reserved, on en be."]
+    texts += [mit, mit.upper(), f"some words before\n\n{mit}\nand a line\n\n{bsd}", bsd.replace(" ", "\n"), gpl[:120], " ".join(f"x{i}" for i in range(400)) + " " + gpl]
+    texts += ["the the the of and to", "public domain software", None, "", "\n\n \n", f"{gpl}\n{mit}", "lizenz für license é"] + ["on en be er and so on"] * 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = {r.id: (r.licence, r.score, r.licence_words) for r in licences.rated(docs, "text").collect()}
+    for i, want in enumerate(plain_licences(texts)):
+        assert found[i][1] == (want[1] and pytest.approx(want[1], abs=2e-6)), texts[i]
+        assert (found[i][0], found[i][2]) == (want[0], want[2]), texts[i]
+    assert found[60][0] == "MIT" and found[66][0] == "BSD-3-Clause" and sum(x[0] is not None for x in found.values()) >= 9
+
+
+def test_ties_of_licences(spark):
+    """Equal scores: the last name of templates, the first name of a directory's files; the deepest directory wins."""
+    notices = {k: t for k, t in licences.TEMPLATES if k in ("MIT", "CC-BY-4.0", "GPL-2.0")}
+    rows = [("r/LICENSE", notices["MIT"]), ("r/a/COPYING", notices["GPL-2.0"]), ("r/a/COPYING2", notices["GPL-2.0"]), ("r/a/b/c/x", "plain words"), ("r/z", "plain words"), ("x", "plain words"), ("/" + "d/" * 3000 + "x", "plain words")]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, path string, text string")
+    found = {r.id: (r.licence, r.inherited_from) for r in licences.licensed(docs).collect()}
+    assert [found[i] for i in range(7)] == [("MIT", None), ("GPL-2.0", None), ("GPL-2.0", None), ("GPL-2.0", "r/a"), ("MIT", "r"), (None, None), (None, None)]
 
 
 def test_licence_lines_of_documents(spark, sf_dir):
