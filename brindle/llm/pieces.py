@@ -12,6 +12,14 @@ lattice falls into parts at these places, words mostly. Each distinct part of a
 of a text are the N best sums over its parts: a heap over the parts' losses against their best. If a model has pieces
 across such places, the text is one part.
 
+The scores are those of the model file; nothing is estimated here. In a file of byte-pair merges they are ranks, not log
+probabilities. The search is exact for the sums of whatever scores there are, so with such a file its best segmentation
+is the one of the least sum of ranks, which need not be what merging in order of rank gives: the ids are segmentations
+into the model's pieces, but not always the ones that the library's own encoder picks.
+
+Alternatives say where they differ from the best ids: expanded() gives their whole ids. `exact` comes from decoding the
+whole ids of a document and comparing with its text.
+
 A map over texts: no shuffle, and memory is bounded by a batch and a cache of CACHE parts.
 
 Nulls and edge cases: a null text gives null ids and null text when decoded; an empty text has no pieces and one
@@ -313,7 +321,6 @@ class Parts:
         self.letters = 0
         self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int32)  # ids of the best ones, one after another
         self.score, self.loss = np.zeros(0), np.zeros(0)  # of the best, and how much the next best loses
-        self.exact = np.zeros(0, bool)  # whether the ids give the part back
 
     def numbers(self, texts: list[str | None]) -> list[tuple[list[str], list[int]] | None]:
         """Parts and their numbers, of each text."""
@@ -340,12 +347,13 @@ class Parts:
         if new:
             ids, score, loss = self.vocab.best_of_many(new)
             bytes_of = self.vocab.bytes_of
-            exact = [b"".join([bytes_of[x] for x in own]) == restored(part) for own, part in zip(ids, new, strict=True)]
+            for k, (own, part) in enumerate(zip(ids, new, strict=True)):
+                if b"".join([bytes_of[x] for x in own]) != restored(part):  # other letters with a piece's hash
+                    ids[k], score[k], loss[k] = self.vocab.best(part)
             self.letters += sum(map(len, new))
             self.flat = np.concatenate([self.flat, np.fromiter((i for own in ids for i in own), np.int32)])
             self.sizes = np.concatenate([self.sizes, np.array([len(own) for own in ids], np.int32)])
             self.score, self.loss = np.concatenate([self.score, score]), np.concatenate([self.loss, loss])
-            self.exact = np.concatenate([self.exact, np.array(exact, bool)])
         return rows
 
     def others(self, part: str, ids: tuple[int, ...]) -> list[Segmentation]:
@@ -355,16 +363,16 @@ class Parts:
         return [(found[0][0], ids), *rest[: self.n - 1]]
 
 
-ALTERNATIVE = pa.struct([("score", pa.float64()), ("parts", pa.list_(pa.int32())), ("ids", pa.list_(pa.list_(pa.int32())))])
-OUT = "ids array<int>, score double, alternatives array<struct<score:double,parts:array<int>,ids:array<array<int>>>>, exact boolean"
+ALTERNATIVE = pa.struct([("score", pa.float64()), ("at", pa.list_(pa.int32())), ("size", pa.list_(pa.int32())), ("ids", pa.list_(pa.list_(pa.int32())))])
+OUT = "ids array<int>, score double, alternatives array<struct<score:double,at:array<int>,size:array<int>,ids:array<array<int>>>>, exact boolean"
 
 
 def _encode_batch(texts: list[str | None], parts: Parts) -> dict[str, pa.Array]:
-    """ids and score of the best segmentation; the others as the parts in which they differ; whether decoding gives the text back."""
-    rows, n = parts.numbers(texts), parts.n
+    """ids and score of the best segmentation; the others as what stands for size ids from at on; whether decoding gives the text back."""
+    rows, n, bytes_of = parts.numbers(texts), parts.n, parts.vocab.bytes_of
     starts = np.cumsum(parts.sizes) - parts.sizes
     ids, scores, others, exact = [], [], [], []
-    for row in rows:
+    for row, text in zip(rows, texts, strict=True):
         if row is None:
             for column in (ids, scores, others, exact):
                 column.append(None)
@@ -374,7 +382,7 @@ def _encode_batch(texts: list[str | None], parts: Parts) -> dict[str, pa.Array]:
         last = np.cumsum(count)
         ids.append(parts.flat[np.arange(int(count.sum())) + np.repeat(starts[own] - (last - count), count)])
         scores.append(float(parts.score[own].sum()))
-        exact.append(bool(parts.exact[own].all()))
+        exact.append(b"".join(map(bytes_of.__getitem__, ids[-1].tolist()))[1:] == text.encode())
         # only the parts whose next best loses least can differ in the n best
         loss = parts.loss[own]
         near = np.sort(np.argpartition(loss, n)[:n]) if len(own) > n else np.arange(len(own))
@@ -384,7 +392,7 @@ def _encode_batch(texts: list[str | None], parts: Parts) -> dict[str, pa.Array]:
         alternatives = []
         for less, chosen in best_sums([[f[0][0] - s for s, _ in f] for f in found], n)[1:]:
             picks = sorted((near[k], found[k][c][1]) for k, c in chosen.items())
-            alternatives.append({"score": scores[-1] - less, "parts": [k for k, _ in picks], "ids": [list(x) for _, x in picks]})
+            alternatives.append({"score": scores[-1] - less, "at": [int(last[k] - count[k]) for k, _ in picks], "size": [int(count[k]) for k, _ in picks], "ids": [list(x) for _, x in picks]})
         others.append(alternatives)
     bounds = np.r_[0, np.cumsum([0 if x is None else len(x) for x in ids])].astype(np.int32)
     values = np.concatenate([x for x in ids if x is not None] or [np.zeros(0, np.int32)])
@@ -392,6 +400,13 @@ def _encode_batch(texts: list[str | None], parts: Parts) -> dict[str, pa.Array]:
     return {"ids": lists, "score": pa.array(scores, pa.float64()), "alternatives": pa.array(others, pa.list_(ALTERNATIVE)), "exact": pa.array(exact, pa.bool_())}
 
 
+def expanded(ids: str = "ids", alternatives: str = "alternatives") -> str:
+    """SQL: the whole ids of each alternative, in their order."""
+    before = f"slice({ids}, 1, if(size(x.at) > 0, x.at[0], 0))"
+    rest = f"slice({ids}, x.at[i] + x.size[i] + 1, if(i + 1 < size(x.at), x.at[i + 1], size({ids})) - x.at[i] - x.size[i])"
+    return f"transform({alternatives}, x -> flatten(concat(array({before}), flatten(transform(x.ids, (y, i) -> array(y, {rest}))))))"
+
+
 SUB_BATCH = 4 << 20  # characters segmented at once
 
 

@@ -59,9 +59,28 @@ def test_n_best_of_texts(vocab, text):
     assert [round(s, 6) for s, _ in found] == [round(s, 6) for s, _ in want]
     assert all(vocab.decode(ids) == text for _, ids in found)
     out = pieces._encode_batch([text], pieces.Parts(vocab, 6))
+    assert out["exact"].to_pylist() == [True]
     assert [round(out["score"][0].as_py(), 6)] + [round(a["score"], 6) for a in out["alternatives"][0].as_py()] == [round(s, 6) for s, _ in want]
 
 
+def test_every_alternative_decodes_to_its_text(spark, sf_dir):
+    odd = [None, "", " ", "a cat sat é", "x  y\n", "日本語 𝄞", "x▁y the the"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60).union(spark.createDataFrame([(-i - 1, t) for i, t in enumerate(odd)], "doc_id bigint, text string"))
+    docs = docs.selectExpr("*", "text as original")
+    rows = pieces.encode(docs).selectExpr("original", "ids", "score", "alternatives.score as scores", f"{pieces.expanded()} as others")
+    vocab, n = pieces.vocabulary(pieces.MODEL), 0
+    for r in rows.collect():
+        if r.original is None:
+            assert r.others is None
+            continue
+        best = pieces.encoded(r.original, pieces.N_BEST, vocab)
+        assert len(r.others) == len(best) - 1 and len({tuple(x) for x in (r.ids, *r.others)}) == len(best)
+        for own, score, (want, _) in zip((r.ids, *r.others), (r.score, *r.scores), best, strict=True):
+            assert vocab.decode(own) == r.original and score == pytest.approx(want)
+            n += 1
+    assert n > 120
+
+
 def test_round_trip(spark, sf_dir):
     odd = [None, "", " ", "  lead and trail  ", "\n\n\t", "日本語 𝄞 \u0000 \x7f", "a" * 5000, "x▁y"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-i - 1, t) for i, t in enumerate(odd)], "doc_id bigint, text string"))
@@ -188,7 +207,7 @@ def test_url_lists_are_temporal(spark, monkeypatch):
         [("a", "block", "bad.com", "add", day("2024-01-10")), ("a", "block", "bad.com", "remove", day("2024-02-01")), ("b", "allow", "ok.bad.com/x", "add", day("2024-01-01")), ("b", "block", None, "add", day("2024-01-01")), ("c", "block", "tie.com", "add", day("2024-01-01")), ("d", "allow", "tie.com", "add", day("2024-01-01"))],
         "list string, verdict string, pattern string, action string, day date",
     )
-    captures = [("http://bad.com/", "2024-01-09", "pass"), ("http://BAD.com/", "2024-01-10", "block"), ("https://www.bad.com:80/q?x", "2024-01-31", "block"), ("http://bad.com", "2024-02-01", "pass"), ("http://ok.bad.com/x/y", "2024-01-15", "allow"), ("http://ok.bad.com/xy", "2024-01-15", "block"), ("http://notbad.com", "2024-01-15", "pass"), ("http://tie.com", "2024-05-05", "allow"), (None, "2024-01-15", "pass"), ("nonsense", "2024-01-15", "pass"), ("http://bad.com/", None, "pass")]
+    captures = [("http://bad.com/", "2024-01-09", "pass"), ("http://BAD.com/", "2024-01-10", "block"), ("https://www.bad.com:80/q?x", "2024-01-31", "block"), ("http://bad.com", "2024-02-01", "pass"), ("http://ok.bad.com/x/y", "2024-01-15", "allow"), ("http://ok.bad.com/xy", "2024-01-15", "block"), ("http://notbad.com", "2024-01-15", "pass"), ("http://tie.com", "2024-05-05", "allow"), (f"http://{'w.' * 2000}bad.com/{'x/' * 4000}", "2024-01-15", "block"), (f"http://ok.bad.com/{'/' * 300}x{'/y' * 3000}", "2024-01-15", "allow"), (None, "2024-01-15", "pass"), ("nonsense", "2024-01-15", "pass"), ("http://bad.com/", None, "pass")]
     table = spark.createDataFrame([(i, u, d and day(d), "mine") for i, (u, d, _) in enumerate(captures)] + [(0, captures[0][0], day("2024-01-09"), "mine")], "id int, url string, fetched date, list string")
     for few in (url_filter.FEW, 0):  # broadcast and shuffled
         monkeypatch.setattr(url_filter, "FEW", few)
