@@ -2,12 +2,14 @@
 
 List entries are dated: an entry adds or removes a pattern on a day. Per list and pattern, an addition holds from its day
 until the next entry: a validity interval. Every capture is checked against the entries that were in force on the day
-it was fetched (an as-of join): it is keyed by all suffixes of its host and all prefixes of its path, which meet the
-patterns by equality, then the interval must contain the day. Of the entries that hold, the longest pattern wins; of
-equally long ones an allowing entry, then the first list by name.
+it was fetched (an as-of join): it is keyed by the suffixes of its host and the prefixes of its path, which meet the
+patterns by equality, then the interval must contain the day. Keys have no more labels and no more path segments than
+the list's longest patterns, so a very long url has no more keys than others. Of the entries that hold, the longest
+pattern wins; of equally long ones an allowing entry, then the first list by name.
 
 The intervals are broadcast only if they are counted and few; else both sides are shuffled by key, where Spark can split
-a host that holds a large share of the captures, since each capture is put together again by its own row number.
+a host that holds a large share of the captures, since each capture is put together again by its own row number. The
+numbered captures are stored first, so that a task that runs again finds the same numbers.
 
 Nulls and edge cases: a capture with null url, host or day meets no entry and passes; entries with null pattern, day or
 action are ignored; of entries of one list, pattern and day, a removal counts; repeated captures give repeated rows.
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import table
+from brindle.llm.common import stored, table
 
 FEW = 100_000  # intervals that may be broadcast
 
@@ -55,22 +57,27 @@ def host_of(url) -> F.Column:
     return F.nullif(F.lower(F.regexp_extract(url, _HOST, 1)), F.lit(""))
 
 
-def keys_of(host: str, path: str) -> str:
-    """SQL: all suffixes of the host at dots, each also with all prefixes of the path at slashes."""
-    suffixes = f"transform(sequence(1, size(split({host}, '[.]'))), i -> array_join(slice(split({host}, '[.]'), i, size(split({host}, '[.]'))), '.'))"
-    parts = f"filter(split({path}, '/'), x -> x <> '')"
-    prefixes = f"transform(array({parts}), p -> transform(sequence(1, greatest(size(p), 1)), i -> if(size(p) = 0, '', concat('/', array_join(slice(p, 1, i), '/')))))[0]"
-    return f"array_distinct(concat({suffixes}, flatten(transform({suffixes}, s -> transform({prefixes}, x -> concat(s, x))))))"
+def keys_of(host: str, path: str, labels: int, segments: int) -> str:
+    """SQL: the suffixes of the host at dots of up to so many labels, each also with the prefixes of the path at slashes of up to so many segments."""
+    ends = f"transform(array(split({host}, '[.]')), h -> transform(sequence(greatest(size(h) - {labels}, 0) + 1, size(h)), i -> array_join(slice(h, i, size(h)), '.')))[0]"
+    parts = f"slice(filter(split({path}, '/', {segments} + 64), x -> x <> ''), 1, {segments})"
+    # empty segments are passed over; only a path with very many of them is split whole
+    parts = f"if(size(split({path}, '/', {segments} + 64)) < {segments} + 64, {parts}, slice(filter(split({path}, '/'), x -> x <> ''), 1, {segments}))"
+    prefixes = f"transform(array({parts}), p -> transform(sequence(0, size(p)), i -> if(i = 0, '', concat('/', array_join(slice(p, 1, i), '/')))))[0]"
+    return f"array_distinct(flatten(transform({ends}, s -> transform({prefixes}, x -> concat(s, x)))))"
 
 
 def filtered(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetched") -> DataFrame:
     """captures with host, verdict (block, allow or pass), list and pattern; columns of these names are replaced. Select the columns that are needed first."""
     captures = captures.drop("host", "verdict", "list", "pattern")
-    row = captures.select(F.monotonically_increasing_id().alias("_row"), F.struct(*captures.columns).alias("_capture"), F.col(day).alias("_day"), host_of(F.col(url)).alias("_host"), F.regexp_extract(url, _PATH, 1).alias("_path"))
-    keyed = row.withColumn("_key", F.explode_outer(F.when(F.col("_host").isNotNull() & F.col("_day").isNotNull(), F.expr(keys_of("_host", "_path")))))
     held = intervals(entries).withColumnRenamed("pattern", "_pattern")
-    if held.limit(FEW + 1).count() <= FEW:
+    host, path = F.split(F.col("_pattern"), "/")[0], F.split(F.col("_pattern"), "/")
+    labels, segments, count = held.agg(F.max(F.size(F.split(host, "[.]"))), F.max(F.size(path) - 1), F.count(F.lit(1))).first()
+    if count <= FEW:
         held = F.broadcast(held)
+    row = captures.select(F.monotonically_increasing_id().alias("_row"), F.struct(*captures.columns).alias("_capture"), F.col(day).alias("_day"), host_of(F.col(url)).alias("_host"), F.regexp_extract(url, _PATH, 1).alias("_path"))
+    may = F.col("_host").isNotNull() & F.col("_day").isNotNull()
+    keyed = stored(row).withColumn("_key", F.explode_outer(F.when(may, F.expr(keys_of("_host", "_path", labels or 0, segments or 0)))))
     met = keyed.join(held, (F.col("_key") == F.col("_pattern")) & (F.col("_day") >= F.col("start")) & (F.col("stop").isNull() | (F.col("_day") < F.col("stop"))), "left")
     rank = F.when(F.col("_pattern").isNotNull(), F.struct((-F.length("_pattern")).alias("size"), "verdict", "list", F.col("_pattern").alias("pattern")))
     best = met.groupBy("_row").agg(F.first("_capture").alias("_capture"), F.first("_host").alias("host"), F.min(rank).alias("_best"))
@@ -80,7 +87,7 @@ def filtered(captures: DataFrame, entries: DataFrame, url: str = "url", day: str
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page against the lists in force on its day; the table has no dates, so a page's day follows from its id."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(date'2024-01-01', int(page_id * 13 % 730))").alias("fetched"))
-    entries = spark.createDataFrame(list(ENTRIES), "list string, verdict string, pattern string, action string, day string").withColumn("day", F.to_date("day"))
+    entries = spark.sql(f"SELECT * FROM VALUES {_VALUES} AS e(list, verdict, pattern, action, day)")
     return filtered(pages, entries)
 
 
