@@ -82,11 +82,18 @@ def _let(name: str, value: str, body: str) -> str:
 _SPAN = "array<struct<kind:string,start:bigint,stop:bigint,text:string>>"
 
 
+STRIDE = 64  # matches whose places are counted on from a known one: arrays grow by copying, so long ones are built of short ones
+
+
 def _matches(kind: str, guard: str, pattern: str, check: str) -> str:
     """SQL for the spans of one pattern in t: what lies between the matches gives their places."""
     p = _quoted(pattern)
-    step = "named_struct('at', z.at + length(s[i]) + length(f[i]), 'out', array_append(z.out, named_struct('kind', '%s', 'start', z.at + length(s[i]), 'stop', z.at + length(s[i]) + length(f[i]), 'text', f[i])))" % kind
-    placed = f"aggregate(sequence(0, size(f) - 1), named_struct('at', 0L, 'out', cast(array() as {_SPAN})), (z, i) -> {step}, z -> z.out)"
+    span = f"named_struct('kind', '{kind}', 'start', z.at + length(s[i]), 'stop', z.at + length(s[i]) + length(f[i]), 'text', f[i])"
+    step = f"named_struct('at', z.at + length(s[i]) + length(f[i]), 'out', array_append(z.out, {span}))"
+    own = f"sequence({STRIDE} * k, least({STRIDE} * k + {STRIDE - 1}, size(f) - 1))"  # the matches of stride k
+    passed = f"aggregate({own}, 0L, (q, i) -> q + length(s[i]) + length(f[i]))"
+    begins = f"aggregate(sequence(0, int((size(f) - 1) / {STRIDE})), named_struct('at', 0L, 'out', cast(array() as array<bigint>)), (g, k) -> named_struct('at', g.at + {passed}, 'out', array_append(g.out, g.at)), g -> g.out)"
+    placed = f"flatten(transform({begins}, (o, k) -> aggregate({own}, named_struct('at', o, 'out', cast(array() as {_SPAN})), (z, i) -> {step}, z -> z.out)))"
     placed = _let("s", f"split(t, {p}, -1)", placed)
     found = f"if({guard}, regexp_extract_all(t, {p}, 0), cast(array() as array<string>))"
     return _let("f", found, f"if(size(f) = 0, cast(array() as {_SPAN}), filter({placed}, q -> {_let('m', 'q.text', check)}))")

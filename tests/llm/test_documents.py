@@ -355,7 +355,7 @@ def plain_spans(text):
 
 ODD = [
     "a@b.c_d@e.f g@h", "x.y+z@a-b.co.uk.", "@a.b c@@d.e", "1.2.3.4.5.6.7.8 256.1.1.1 0.0.0.255 001.02.3.4", "1.2.3 4.5.6.7x.8", "4111 1111 1111 1111 and 4111-1111-1111-1112",
-    "4111111111111111 +1 (043) 555-3286 +1+2345678 +12", "é𝄞 token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" x@y.z", "+1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "a@b.c" * 40, "1 " * 200, "1" * 400,
+    "4111111111111111 +1 (043) 555-3286 +1+2345678 +12", "é𝄞 token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" x@y.z", "+1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "a@b.c" * 40, "1 " * 200, "1" * 400, "a@b.c, " * 63, "a@b.c, " * 64, "é 1.2.3.4 " * 65, "a@b.c +49 30 1234567 " * 1000,
 ]
 
 
@@ -366,6 +366,80 @@ def test_base_spans(spark, texts):
     assert found == sorted((d, plain_spans(t)) for d, t in every)
 
 
+def plain_classifier(rows):
+    """Brute force of the further spans: candidates, votes, expectation-maximisation and naive Bayes, text by text in Python."""
+    candidates = []
+    for d, text in rows:
+        text = text or ""
+        base = plain_spans(text)
+        for kind, pattern in pii.CANDIDATES:
+            pattern = pattern.replace(r"\x20", " ")
+            for m in re.finditer(pattern, text):
+                if any(m.start() < stop and start < m.end() for _, start, stop in base):
+                    continue
+                s, b, a = m[0], text[max(0, m.start() - 24) : m.start()], text[m.end() : m.end() + 2]
+                digits, secret = re.sub("[^0-9]", "", s), kind == "secret"
+                cue = pii.CUES[kind]
+                if secret:
+                    shape = int(bool(re.match(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|(?:sk|pk|ghp|xox[a-z])[_-].*)$", s)))
+                    mix = 1 if re.search("[A-Za-z].*[0-9].*[A-Za-z].*[0-9].*[A-Za-z].*[0-9]", s) else -1
+                else:
+                    shape = 1 if re.match(r"(?:\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})$", s) else -1 if s.isdigit() else 0
+                    mix = 1 if 9 <= len(digits) <= 11 else -1
+                votes = (
+                    shape,
+                    mix,
+                    1 if re.search(rf"(?i)(?:^|[^A-Za-z])(?:{cue})[^A-Za-z]{{0,6}}$", b) else -1,
+                    1 if re.search(r"[=:]\s*[\"']?$", b) else (0 if secret else -1) if re.search(r"[A-Za-z]\s$", b) else 0,
+                    1 if re.search("[\"']$", b) and re.match("[\"']", a) else -1 if re.search("[A-Za-z_]$", b) or re.match("[A-Za-z_]", a) else 0,
+                )
+                features = (
+                    str(min(len(s) // 4, 20)),
+                    str(int(10 * len(digits) / len(s))),
+                    "none" if not b else "quote" if re.search("[\"']$", b) else "assign" if re.search(r"[=:]\s*$", b) else "space" if re.search(r"\s$", b) else "letter" if re.search("[A-Za-z]$", b) else "other",
+                    "none" if not a else "quote" if re.match("[\"']", a) else "space" if re.match(r"\s", a) else "letter" if re.match("[A-Za-z]", a) else "other",
+                    "cue" if re.search(rf"(?i)(?:^|[^A-Za-z])(?:{cue})[^A-Za-z]", b) else "none",
+                )
+                candidates.append((d, kind, m.start(), m.end(), votes, features))
+    taken = set()
+    for kind, _ in pii.CANDIDATES:
+        own = [c for c in candidates if c[1] == kind]
+        if not own:
+            continue
+        sure, prior = [0.8] * 5, 0.5
+        for _ in range(50):
+            odds = [math.log(prior / (1 - prior)) + sum(v * math.log(r / (1 - r)) for v, r in zip(c[4], sure, strict=True)) for c in own]
+            yes = [1 / (1 + math.exp(-x)) for x in odds]
+            prior = min(0.95, max(0.05, sum(yes) / len(own)))
+            for j in range(5):
+                right = sum(y if c[4][j] > 0 else 1 - y for c, y in zip(own, yes, strict=True) if c[4][j])
+                sure[j] = min(0.99, max(0.51, (right + 4) / (sum(c[4][j] != 0 for c in own) + 5)))
+        all_yes, all_no = sum(yes), sum(1 - y for y in yes)
+        for c in own:
+            odds = math.log((all_yes + 0.1) / (all_no + 0.1))
+            for k, value in enumerate(c[5]):
+                y, n = (sum(f(x) for o, x in zip(own, yes, strict=True) if o[5][k] == value) for f in (lambda x: x, lambda x: 1 - x))
+                odds += math.log((y + 0.5) / (all_yes + 1)) - math.log((n + 0.5) / (all_no + 1))
+            if odds > 0:
+                taken.add((c[0], c[1], c[2], c[3]))
+    return candidates, taken
+
+
+def test_further_spans_are_those_of_brute_force(spark, sf_dir):
+    rng = np.random.default_rng(9)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + [(30_000 + i, t) for i, t in enumerate(ODD)]
+    for i in range(120):
+        h, n = hashlib.sha1(str(i).encode()).hexdigest(), "".join(map(str, rng.integers(0, 10, 10)))
+        forms = (f'api key: "{h}"', f"see {h} there", f"call {n[:3]}-{n[3:6]}-{n[6:]} now", f"tel {n}", f"number {n}{n} of", f"a_name_of_{i}_and_no_more_than_that", f"x{n}y", f"fax: ({n[:3]}) {n[3:6]} {n[6:]}", f"password={h[:24]};")
+        rows.append((40_000 + i, f"é {forms[i % len(forms)]} and {forms[int(rng.integers(0, len(forms)))]}"))
+    candidates, want = plain_classifier(rows)
+    found = pii.extracted(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    marked = pii.with_spans(found, pii.train(found)).collect()
+    assert sorted((r.doc_id, c.kind, c.start, c.stop) for r in marked for c in r.candidates) == sorted(c[:4] for c in candidates)
+    assert {(r.doc_id, x.kind, x.start, x.stop) for r in marked for x in r.spans[len(r.base) :]} == want
+    assert {x[1] for x in want} == {"secret", "number"} and len(want) < len(candidates)
+
+
 @given(st.text("aé1@.+- ()4", max_size=30))
 @settings(max_examples=300, deadline=None)
 def test_patterns_match_as_the_plain_ones(text):
