@@ -606,3 +606,63 @@ def test_near_dedup_tells_rows_apart_that_share_a_doc_id(spark):
     table = spark.createDataFrame(rows, "doc_id bigint, text string")
     kept = [(r.doc_id, r.text) for r in simhash.one_of_each_group(table).collect()]
     assert sorted(kept, key=str) == sorted([(None, x), (None, y), (1, z), (5, u), (5, v)], key=str)
+
+
+# --- the pipeline
+
+
+def plain_pipeline(rows, labels, bench):
+    """Brute force of all stages on rows (doc_id, text, lang): (doc_id, lang, text that the ids stand for)."""
+    kept = []
+    for r in rows:
+        n, _, _, _, repeats = plain_signals(r[1])
+        if n >= 50 and 100 * repeats <= 50 * n:
+            kept.append(r)
+    distinct = list(dict.fromkeys(kept))
+    sets = [plain_set(t) for _, t, _ in distinct]
+    root = closure(list(range(len(distinct))), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    first = {}
+    for k, r in enumerate(distinct):
+        key = (r[0] is None, r[0] or 0)
+        if root[k] not in first or key < first[root[k]][0]:
+            first[root[k]] = key, r
+    kept = [r for _, r in first.values()]
+    hits = plain_contamination([t for _, t, _ in kept], bench)
+    kept = [r for r, (_, n_hit, _) in zip(kept, hits, strict=True) if not n_hit]
+    numbered = [(k, t) for k, (_, t, _) in enumerate(kept)]
+    _, taken = plain_classifier(numbered)
+    out = []
+    for k, (d, text, lang) in enumerate(kept):
+        spans = sorted([(a, b, kind) for kind, a, b in plain_spans(text)] + [(a, b, kind) for i, kind, a, b in taken if i == k])
+        done, at = "", 0
+        for a, b, kind in spans:
+            if a >= at:
+                done += text[at:a] + f"<{kind.upper()}>"
+            at = max(at, b)
+        out.append((d, lang, done + text[at:]))
+    return sorted(out, key=str)
+
+
+def test_pipeline_equals_brute_force(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+    from brindle.llm import pieces
+
+    rng = np.random.default_rng(12)
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(130).collect()]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()] + [(None, None)]
+    for i, text in enumerate(near_copies()):
+        rows.append((1000 + i, text, "en" if i % 2 else None))
+    prose = [" ".join(f"w{k}" for k in rng.integers(0, 900, 90)) for _ in range(14)]
+    rows += [(2000 + i, f"{t} write to a{i}@b.org or +49 30 1234567{i} at 10.0.0.{i} with token = \"{hashlib.sha1(t.encode()).hexdigest()}\" x", "de") for i, t in enumerate(prose[:6])]
+    rows += [(None, prose[6], "fr"), (None, prose[7], "fr"), (None, prose[7], "fr"), (2001, prose[8], "en"), (2001, prose[8], "en"), (3001, prose[9], None), (3000, prose[9], None)]
+    rows += [(3002, f"{prose[10]} {bench[0][1]}", "en"), (3003, None, None), (3004, "", "en"), (3005, "spam " * 200, "en"), (3006, f"{prose[11]} 4111 1111 1111 1111 end", "en")]
+    labels = [(r[0], 1) for r in rows if r[0] is not None]
+    table = spark.createDataFrame([(d, t, lang, "s", len(t or "")) for d, t, lang in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(*x, 0) for x in labels], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = pieces.decode(corpus_pipeline.run(spark, str(tmp_path))).collect()
+    assert all(r.exact for r in found)
+    want = plain_pipeline(rows, labels, bench)
+    assert sorted(((r.doc_id, r.lang, r.decoded) for r in found), key=str) == want
+    assert len(want) < len(rows) - 60 and any("<SECRET>" in t and "<EMAIL>" in t for _, _, t in want)
