@@ -10,7 +10,11 @@ Pairs of a bucket are candidates if their sizes allow the threshold, and the par
 differ in no more bits than the sets may (a lower bound of their symmetric difference). Distinct pairs then meet the same
 bound over as many bits as the sets have shingles, as it says nothing of sets that are large for their bits. What passes
 is decided by its whole sets, made anew from its texts. Large groups don't need all pairs: STARS rounds compare each set with one of
-its bucket; then all pairs of a bucket follow that aren't connected yet. Nothing is capped or left out.
+its bucket; then all pairs of a bucket follow that aren't connected yet, of which those of its largest component meet
+only the others. Nothing is capped or left out.
+
+A bucket of more than SPLIT sets is dealt out: in a star round to blocks that follow from the round, so that sets of
+two blocks meet in another; for all pairs to each two of its blocks. A task holds two blocks at most.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ STARS = 2
 SAMPLE, SAMPLE_SHARE = 20_000, 1 / 64  # documents whose shingles are counted for the order: the greater of both
 OFTEN, LISTED = 3, 250_000  # counts in the sample from which a shingle comes late, and how many do at most
 CROSS = 1 << 20  # pairs of a bucket that are compared at once
+SPLIT = 8192  # sets of a bucket, about, that a task holds
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -112,56 +117,87 @@ def order_of(docs: DataFrame, n: int, text: str) -> tuple[np.ndarray, np.ndarray
     return late[by], count[by]
 
 
-def candidates(buckets: DataFrame, t: Fraction, seed: int | None) -> DataFrame:
+def compared(rows: pa.Table, t: Fraction, seed: int | None) -> Iterator[pa.RecordBatch]:
+    """(a, b) of one bucket (s, size, root, side, bits): pairs of different roots that may reach t; of two sides only those across."""
+    p, q = t.numerator, t.denominator
+    s, size, root, side = (rows.column(c).to_numpy().astype(np.int64) for c in ("s", "size", "root", "side"))
+    if (root == root[0]).all():
+        return
+    bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(s), -1)
+
+    def across(left: np.ndarray, right: np.ndarray, once: bool = False) -> Iterator[pa.RecordBatch]:
+        step = max(1, CROSS // max(1, len(right) * bits.shape[1]))
+        for h in range(0, len(left), step):
+            x, y = left[h : h + step, None], right[None, :]
+            ok = (root[x] != root[y]) & (np.minimum(size[x], size[y]) * q >= np.maximum(size[x], size[y]) * p)
+            if once:
+                ok &= s[x] < s[y]
+            i, j = np.nonzero(ok)
+            i, j = left[h : h + step][i], right[j]
+            # symmetric difference of at most (|x| + |y|) (1 - t) / (1 + t)
+            near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) * (q + p) <= (size[i] + size[j]) * (q - p)
+            i, j = s[i[near]], s[j[near]]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
+
+    if seed is not None:
+        rank = s.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(seed * 0x5851F42D4C957F2D)
+        yield from across(np.array([int(rank.argmin())]), np.arange(len(s)))
+        return
+    names, count = np.unique(root, return_counts=True)
+    main = root == names[count.argmax()]  # the largest component's sets needn't meet one another
+    if (side == side[0]).all():
+        yield from across(np.flatnonzero(~main), np.flatnonzero(~main), once=True)
+        yield from across(np.flatnonzero(~main), np.flatnonzero(main))
+    else:
+        first = side == side.min()
+        yield from across(np.flatnonzero(first & ~main), np.flatnonzero(~first))
+        yield from across(np.flatnonzero(first & main), np.flatnonzero(~first & ~main))
+
+
+def candidates(buckets: DataFrame, hot: DataFrame | None, t: Fraction, seed: int | None) -> DataFrame:
     """(a, b), distinct with a < b, of buckets (key, s, size, bits, root): pairs of different roots that may reach t.
 
-    seed: pairs of every set with one of its bucket, which follows from the seed; None: all pairs.
+    hot: (key, blocks) of the buckets that are dealt out. seed: pairs of every set with one of its bucket or block, which
+    follows from the seed; None: all pairs.
     """
-    p, q = t.numerator, t.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, s, size, root = (rows.column(c).to_numpy().astype(np.int64) for c in ("key", "s", "size", "root"))
-            bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(s), -1)
-            rank = s.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64((seed or 0) * 0x5851F42D4C957F2D)
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            key, part = rows.column("key").to_numpy(), rows.column("part").to_numpy()
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
-                m = b - a
-                if m < 2:
-                    continue
-                hubs = np.arange(a, b) if seed is None else np.array([a + int(rank[a:b].argmin())])
-                step = max(1, CROSS // (m * bits.shape[1]))
-                for h in range(0, len(hubs), step):
-                    x = hubs[h : h + step, None]
-                    y = np.arange(a, b)[None, :]
-                    ok = (root[x] != root[y]) & (np.minimum(size[x], size[y]) * q >= np.maximum(size[x], size[y]) * p)
-                    if seed is None:
-                        ok &= s[x] < s[y]
-                    i, j = np.nonzero(ok)
-                    i, j = hubs[h : h + step][i], j + a
-                    # symmetric difference of at most (|x| + |y|) (1 - t) / (1 + t)
-                    near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) * (q + p) <= (size[i] + size[j]) * (q - p)
-                    i, j = s[i[near]], s[j[near]]
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
+                if b - a > 1:
+                    yield from compared(rows.slice(a, b - a), t, seed)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            key = batch.column(0).to_numpy()
-            if key[-1] != held[0].column(0)[0].as_py():  # all but the last bucket is complete
+            key, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if (key[-1], part[-1]) != (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()):  # all but the last bucket is complete
                 rows = pa.Table.from_batches(held)
-                cut_at = int(np.flatnonzero(rows.column(0).to_numpy() == key[-1])[0])
+                last = (rows.column("key").to_numpy() == key[-1]) & (rows.column("part").to_numpy() == part[-1])
+                cut_at = int(np.flatnonzero(last)[0])
                 yield from pairs(rows.slice(0, cut_at))
                 held = rows.slice(cut_at).to_batches()
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
+    whole = F.lit(0).cast("long")
+    if hot is None:
+        placed = buckets.withColumn("part", whole).withColumn("side", whole)
+    else:
+        named = buckets.join(hot, "key", "left").withColumn("side", F.coalesce(F.pmod(F.xxhash64(F.lit(seed or 0), "s"), "blocks"), whole))
+        if seed is None:
+            meets = F.transform(F.sequence(whole, F.col("blocks") - 1), lambda k: F.least(k, "side") * F.col("blocks") + F.greatest(k, "side"))
+            placed = named.withColumn("part", F.explode(F.when(F.col("blocks").isNotNull(), meets).otherwise(F.array(whole))))
+        else:
+            placed = named.withColumn("part", F.col("side"))
     n = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = buckets.select("key", "s", "size", "root", "bits").repartition(n, "key").sortWithinPartitions("key", "s")
+    sorted_rows = placed.select("key", "part", "s", "size", "root", "side", "bits").repartition(n, "key", "part").sortWithinPartitions("key", "part", "s")
     return sorted_rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -214,7 +250,7 @@ def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, n: int, t: Fra
     return stored(met(pairs, stored(known), "set").mapInArrow(decide, "a bigint, b bigint"))
 
 
-def groups(docs: DataFrame, n: int, similarity: float, text: str = "text") -> tuple[DataFrame, DataFrame]:
+def groups(docs: DataFrame, n: int, similarity: float, text: str = "text", split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
     """Rows of docs (_id, _h, _g, s), and (s, root) of every set that has a near one; doc_id is the column of this name."""
     t = Fraction(str(similarity))
     spark = docs.sparkSession
@@ -241,6 +277,8 @@ def groups(docs: DataFrame, n: int, similarity: float, text: str = "text") -> tu
     shared = _shared(keyed)
     bits = rows.select("s", "bits").dropDuplicates(["s"])
     buckets = stored(shared.join(bits.join(shared.select("s").distinct(), "s", "left_semi"), "s"))
+    hot = stored(buckets.where(F.col("place") >= split).groupBy("key").agg((F.floor(F.max("place") / split) + 1).alias("blocks")))
+    hot, buckets = hot if hot.limit(1).count() else None, buckets.drop("place")
     release(spark)
     links, roots = None, None
     for seed in [*range(1, STARS + 1), None]:
@@ -248,7 +286,7 @@ def groups(docs: DataFrame, n: int, similarity: float, text: str = "text") -> tu
             marked = buckets.withColumn("root", F.col("s"))
         else:
             marked = buckets.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-        new = confirmed(stored(candidates(marked, t, seed)), rows, docs, n, t, text)
+        new = confirmed(stored(candidates(marked, hot, t, seed)), rows, docs, n, t, text)
         release(spark)
         links = new if links is None else links.unionByName(new)
         roots = stored(components(links, "a", "b"))
@@ -256,10 +294,11 @@ def groups(docs: DataFrame, n: int, similarity: float, text: str = "text") -> tu
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
-    """The rows of keyed (key, s, size) whose key another row has too."""
+    """The rows of keyed (key, s, size) whose key another row has too, with their place among those of the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # the last row seen: it waits for its successor
+        before = None  # the last row seen, its place, and whether another has its key: it waits for its successor
+        names = ["key", "s", "size", "place"]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -267,12 +306,15 @@ def _shared(keyed: DataFrame) -> DataFrame:
             if before is not None:
                 rows = np.concatenate([before[0], rows])
             same = rows[1:, 0] == rows[:-1, 0]
-            keep = np.r_[before is not None and before[1], same] | np.r_[same, False]
-            before = rows[-1:], bool(keep[-1])
-            rows = rows[:-1][keep[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], ["key", "s", "size"])
-        if before is not None and before[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(before[0][:, k]) for k in range(3)], ["key", "s", "size"])
+            keep = np.r_[before is not None and before[2], same] | np.r_[same, False]
+            run_of = np.cumsum(np.r_[0, ~same])
+            starts = np.flatnonzero(np.r_[True, ~same])
+            place = np.arange(len(rows)) - starts[run_of] + np.where(run_of == 0, before[1] if before is not None else 0, 0)
+            before = rows[-1:], int(place[-1]), bool(keep[-1])
+            rows, place = rows[:-1][keep[:-1]], place[:-1][keep[:-1]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(3)), pa.array(place)], names)
+        if before is not None and before[2]:
+            yield pa.RecordBatch.from_arrays([*(pa.array(before[0][:, k]) for k in range(3)), pa.array([before[1]])], names)
 
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "key bigint, s bigint, size bigint"))
+    return stored(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "key bigint, s bigint, size bigint, place bigint"))

@@ -600,6 +600,25 @@ def test_near_dedup_links_every_pair_of_similarity_08(spark, texts, monkeypatch,
     assert simhash.one_of_each_group(empty(table)).count() == 0
 
 
+@pytest.mark.parametrize("split", [2, 7, 100_000])
+def test_large_buckets_that_are_dealt_out_lose_no_group(spark, monkeypatch, split):
+    from brindle.llm import near_sets
+
+    monkeypatch.setattr(near_sets, "OFTEN", 10**9)  # common shingles make buckets too
+    common, other = [f"c{k}" for k in range(40)], [f"d{k}" for k in range(40)]
+    made = [" ".join([*words[:cut], f"x{k}", *words[cut:]]) for words in (common, other) for k, cut in enumerate([0, 3, 20, 37, 40] * 8)]
+    made += [" ".join([*common[:k], *(f"y{k}-{i}" for i in range(5)), *common[k:]]) for k in range(0, 41, 2)] + [" ".join(common), "", "c1 c2"]
+    table = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    sets = [plain_set(x) for x in made]
+    want = closure(list(range(len(made))), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    rows, roots = near_sets.groups(table, 5, 0.8, split=split)
+    got: dict = {}
+    for r in rows.join(roots, "s", "left").collect():
+        got.setdefault(r.s if r.root is None else r.root, []).append(r._id)
+    named = {k: min(members) for members in got.values() for k in members}
+    assert named == dict(want)
+
+
 def test_near_dedup_tells_rows_apart_that_share_a_doc_id(spark):
     x, y, z, u, v = (" ".join(f"{c}{i}" for i in range(80)) for c in "xyzuv")
     rows = [(None, x), (None, y), (None, y), (1, z), (5, z), (5, u), (5, v), (5, v), (7, v + " more"), (None, u)]
