@@ -39,6 +39,7 @@ SAMPLE, SAMPLE_SHARE = 20_000, 1 / 64  # documents whose shingles are counted fo
 OFTEN, LISTED = 3, 250_000  # counts in the sample from which a shingle comes late, and how many do at most
 CROSS = 1 << 20  # pairs of a bucket that are compared at once
 SPLIT = 8192  # sets of a bucket, about, that a task holds
+SMALL = 16  # buckets up to this size compare all their sets at once
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -117,13 +118,9 @@ def order_of(docs: DataFrame, n: int, text: str) -> tuple[np.ndarray, np.ndarray
     return late[by], count[by]
 
 
-def compared(rows: pa.Table, t: Fraction, seed: int | None) -> Iterator[pa.RecordBatch]:
-    """(a, b) of one bucket (s, size, root, side, bits): pairs of different roots that may reach t; of two sides only those across."""
+def compared(s: np.ndarray, size: np.ndarray, root: np.ndarray, side: np.ndarray, bits: np.ndarray, t: Fraction, seed: int | None) -> Iterator[pa.RecordBatch]:
+    """(a, b) of one bucket: pairs of different roots that may reach t; of two sides only those across."""
     p, q = t.numerator, t.denominator
-    s, size, root, side = (rows.column(c).to_numpy().astype(np.int64) for c in ("s", "size", "root", "side"))
-    if (root == root[0]).all():
-        return
-    bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(s), -1)
 
     def across(left: np.ndarray, right: np.ndarray, once: bool = False) -> Iterator[pa.RecordBatch]:
         step = max(1, CROSS // max(1, len(right) * bits.shape[1]))
@@ -144,6 +141,9 @@ def compared(rows: pa.Table, t: Fraction, seed: int | None) -> Iterator[pa.Recor
         rank = s.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(seed * 0x5851F42D4C957F2D)
         yield from across(np.array([int(rank.argmin())]), np.arange(len(s)))
         return
+    if len(s) <= SMALL and (side == side[0]).all():
+        yield from across(np.arange(len(s)), np.arange(len(s)), once=True)
+        return
     names, count = np.unique(root, return_counts=True)
     main = root == names[count.argmax()]  # the largest component's sets needn't meet one another
     if (side == side[0]).all():
@@ -167,10 +167,13 @@ def candidates(buckets: DataFrame, hot: DataFrame | None, t: Fraction, seed: int
 
         def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             key, part = rows.column("key").to_numpy(), rows.column("part").to_numpy()
+            columns = [rows.column(c).to_numpy().astype(np.int64) for c in ("s", "size", "root", "side")]
+            columns.append(np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(key), -1))
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
-                if b - a > 1:
-                    yield from compared(rows.slice(a, b - a), t, seed)
+            ends = np.r_[starts[1:], len(key)]
+            several = np.minimum.reduceat(columns[2], starts) != np.maximum.reduceat(columns[2], starts)
+            for a, b in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
+                yield from compared(*(c[a:b] for c in columns), t, seed)
 
         for batch in batches:
             if not batch.num_rows:
@@ -181,7 +184,8 @@ def candidates(buckets: DataFrame, hot: DataFrame | None, t: Fraction, seed: int
                 rows = pa.Table.from_batches(held)
                 last = (rows.column("key").to_numpy() == key[-1]) & (rows.column("part").to_numpy() == part[-1])
                 cut_at = int(np.flatnonzero(last)[0])
-                yield from pairs(rows.slice(0, cut_at))
+                if cut_at:
+                    yield from pairs(rows.slice(0, cut_at))
                 held = rows.slice(cut_at).to_batches()
         if held:
             yield from pairs(pa.Table.from_batches(held))
