@@ -1,17 +1,22 @@
 """Groups of documents whose sets of n-word shingles have a Jaccard similarity of a threshold or more, without loss.
 
 Words and shingles are those of simhash; sets hold 64-bit hashes, and a set is known by the 64-bit hash of its sorted
-hashes, so documents of one set count once. All sets are put in one order of shingles. Two sets of the threshold t have
-a shingle in common among the first |x| - ceil(t |x|) + 1 of each (prefix filtering), so each set goes to the buckets of
-these. Any fixed order is right; rare shingles first keep buckets small, so shingles that a sample of documents often
-has come last, by their count there, the others by hash.
-
-Pairs of a bucket are candidates if their sizes allow the threshold, and the parities of their shingles over BITMAP bits
-differ in no more bits than the sets may (a lower bound of their symmetric difference). Distinct pairs then meet the same
-bound over as many bits as the sets have shingles, as it says nothing of sets that are large for their bits. What passes
-is decided by its whole sets, made anew from its texts. Large groups don't need all pairs: STARS rounds compare each set with one of
-its bucket; then all pairs of a bucket follow that aren't connected yet, of which those of its largest component meet
-only the others. Nothing is capped or left out.
+hashes, so documents of one set count once.
+
+1. SimHash. The sets' long fingerprints meet by the pigeonring search of rings.py: buckets by ring segments, chains, full
+   Hamming check. What passes is decided by its whole sets, made anew from its texts.
+2. The rest. No radius has all pairs of a similarity, and two fingerprints within it may agree on no segment. So all sets
+   are also put in one order of shingles. Two sets of the threshold t have a shingle in common among the first
+   |x| - ceil(t |x|) + 1 of each (prefix filtering), so each set goes to the buckets of these, where those meet that the
+   first search left in different groups. Any fixed order is right; rare shingles first keep buckets small, so shingles
+   that a sample of documents often has come last, by their count there, the others by hash.
+
+Pairs of either kind of bucket are candidates only if their sizes allow the threshold, and the parities of their shingles
+over BITMAP bits (beside fingerprints RING_BITMAP) differ in no more bits than the sets may (a lower bound of their
+symmetric difference). Distinct pairs then meet the same bound over as many bits as the sets have shingles, as it says
+nothing of sets that are large for their bits. What passes is decided by its whole sets. Large groups don't need all
+pairs: in the first search STARS rounds compare each set with one of its bucket, then all pairs of a bucket follow that
+aren't connected yet, of which those of its largest component meet only the others. Nothing is capped or left out.
 
 A bucket of more than SPLIT sets is dealt out: in a star round to blocks that follow from the round, so that sets of
 two blocks meet in another; for all pairs to each two of its blocks. A task holds two blocks at most.
@@ -28,11 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm import rings
 from brindle.llm.common import release, stored
 from brindle.llm.components import components
 
 SEED = 42
-BITMAP, WIDE = 512, 1 << 15
+BITMAP, RING_BITMAP, WIDE = 512, 256, 1 << 15
 FEW = 250_000  # sets whose texts are looked up by broadcast
 STARS = 2
 SAMPLE, SAMPLE_SHARE = 20_000, 1 / 64  # documents whose shingles are counted for the order: the greater of both
@@ -118,9 +124,13 @@ def order_of(docs: DataFrame, n: int, text: str) -> tuple[np.ndarray, np.ndarray
     return late[by], count[by]
 
 
-def compared(s: np.ndarray, size: np.ndarray, root: np.ndarray, side: np.ndarray, bits: np.ndarray, t: Fraction, seed: int | None) -> Iterator[pa.RecordBatch]:
-    """(a, b) of one bucket: pairs of different roots that may reach t; of two sides only those across."""
+def compared(s: np.ndarray, size: np.ndarray, root: np.ndarray, side: np.ndarray, bits: np.ndarray, t: Fraction, seed: int | None, radius: int | None) -> Iterator[pa.RecordBatch]:
+    """(a, b) of one bucket: pairs of different roots that may reach t; of two sides only those across.
+
+    With a radius, bits are a fingerprint and parities, else parities.
+    """
     p, q = t.numerator, t.denominator
+    prints, parity = np.split(bits, [0 if radius is None else rings.WORDS], axis=1)
 
     def across(left: np.ndarray, right: np.ndarray, once: bool = False) -> Iterator[pa.RecordBatch]:
         step = max(1, CROSS // max(1, len(right) * bits.shape[1]))
@@ -131,8 +141,11 @@ def compared(s: np.ndarray, size: np.ndarray, root: np.ndarray, side: np.ndarray
                 ok &= s[x] < s[y]
             i, j = np.nonzero(ok)
             i, j = left[h : h + step][i], right[j]
+            if radius is not None:
+                passed = rings.linked(prints[i] ^ prints[j], radius)
+                i, j = i[passed], j[passed]
             # symmetric difference of at most (|x| + |y|) (1 - t) / (1 + t)
-            near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) * (q + p) <= (size[i] + size[j]) * (q - p)
+            near = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64) * (q + p) <= (size[i] + size[j]) * (q - p)
             i, j = s[i[near]], s[j[near]]
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
@@ -155,11 +168,11 @@ def compared(s: np.ndarray, size: np.ndarray, root: np.ndarray, side: np.ndarray
         yield from across(np.flatnonzero(first & main), np.flatnonzero(~first & ~main))
 
 
-def candidates(buckets: DataFrame, hot: DataFrame | None, t: Fraction, seed: int | None) -> DataFrame:
+def candidates(buckets: DataFrame, hot: DataFrame | None, t: Fraction, seed: int | None, radius: int | None = None) -> DataFrame:
     """(a, b), distinct with a < b, of buckets (key, s, size, bits, root): pairs of different roots that may reach t.
 
     hot: (key, blocks) of the buckets that are dealt out. seed: pairs of every set with one of its bucket or block, which
-    follows from the seed; None: all pairs.
+    follows from the seed; None: all pairs. radius: of the fingerprints that bits begin with, if they do.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +186,7 @@ def candidates(buckets: DataFrame, hot: DataFrame | None, t: Fraction, seed: int
             ends = np.r_[starts[1:], len(key)]
             several = np.minimum.reduceat(columns[2], starts) != np.maximum.reduceat(columns[2], starts)
             for a, b in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
-                yield from compared(*(c[a:b] for c in columns), t, seed)
+                yield from compared(*(c[a:b] for c in columns), t, seed, radius)
 
         for batch in batches:
             if not batch.num_rows:
@@ -254,6 +267,28 @@ def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, n: int, t: Fra
     return stored(met(pairs, stored(known), "set").mapInArrow(decide, "a bigint, b bigint"))
 
 
+class Rounds:
+    """Links found so far, and the components that they make."""
+
+    def __init__(self, rows: DataFrame, docs: DataFrame, n: int, t: Fraction, text: str):
+        self.rows, self.docs, self.n, self.t, self.text = rows, docs, n, t, text
+        self.links, self.roots = None, None
+
+    def add(self, sets: DataFrame, hot: DataFrame, seed: int | None, radius: int | None) -> None:
+        """Adds the links within buckets between sets (s, size, bits, and key or keys of buckets) that aren't connected."""
+        if self.roots is None:
+            marked = sets.withColumn("root", F.col("s"))
+        else:
+            marked = sets.join(self.roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+        if "keys" in marked.columns:
+            marked = marked.withColumn("key", F.explode("keys"))
+        pairs = stored(candidates(marked, hot if hot.limit(1).count() else None, self.t, seed, radius))
+        new = confirmed(pairs, self.rows, self.docs, self.n, self.t, self.text)
+        release(self.rows.sparkSession)
+        self.links = new if self.links is None else self.links.unionByName(new)
+        self.roots = stored(components(self.links, "a", "b"))
+
+
 def groups(docs: DataFrame, n: int, similarity: float, text: str = "text", split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
     """Rows of docs (_id, _h, _g, s), and (s, root) of every set that has a near one; doc_id is the column of this name."""
     t = Fraction(str(similarity))
@@ -267,34 +302,32 @@ def groups(docs: DataFrame, n: int, similarity: float, text: str = "text", split
             new = [
                 pa.array([name_of(x) for x in found], pa.int64()),
                 pa.array([len(x) for x in found], pa.int64()),
+                pa.array([rings.fingerprint(x) + parities(x, RING_BITMAP) for x in found], pa.binary()),
                 pa.array([parities(x) for x in found], pa.binary()),
                 pa.array([wide(x) for x in found], pa.binary()),
                 pa.array([prefix(x, t, late, count).view(np.int64) for x in found], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *new], ["_id", "_h", "_g", "s", "size", "bits", "wide", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *new], ["_id", "_h", "_g", "s", "size", "ring", "bits", "wide", "keys"])
 
     own = identified(docs, text=text).select("_id", "_h", "_g", text)
     kind = dict(own.dtypes)["_id"]
-    rows = stored(own.mapInArrow(run, f"_id {kind}, _h bigint, _g bigint, s bigint, size bigint, bits binary, wide binary, keys array<bigint>"))
+    rows = stored(own.mapInArrow(run, f"_id {kind}, _h bigint, _g bigint, s bigint, size bigint, ring binary, bits binary, wide binary, keys array<bigint>"))
+    rounds = Rounds(rows, docs, n, t, text)
+
+    ringed = stored(rows.select("s", "size", F.col("ring").alias("bits")).dropDuplicates(["s"]))
+    keyed = rings.with_keys(ringed, ringed.count())
+    hot = stored(rings.crowded(keyed, split))
+    for seed in [*range(1, STARS + 1), None]:
+        rounds.add(keyed, hot, seed, rings.radius_for(t))
+
     sets = rows.select("s", "size", "keys").dropDuplicates(["s"])
-    keyed = sets.select(F.explode("keys").alias("key"), "s", "size")
-    shared = _shared(keyed)
+    shared = _shared(sets.select(F.explode("keys").alias("key"), "s", "size"))
     bits = rows.select("s", "bits").dropDuplicates(["s"])
     buckets = stored(shared.join(bits.join(shared.select("s").distinct(), "s", "left_semi"), "s"))
     hot = stored(buckets.where(F.col("place") >= split).groupBy("key").agg((F.floor(F.max("place") / split) + 1).alias("blocks")))
-    hot, buckets = hot if hot.limit(1).count() else None, buckets.drop("place")
     release(spark)
-    links, roots = None, None
-    for seed in [*range(1, STARS + 1), None]:
-        if roots is None:
-            marked = buckets.withColumn("root", F.col("s"))
-        else:
-            marked = buckets.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-        new = confirmed(stored(candidates(marked, hot, t, seed)), rows, docs, n, t, text)
-        release(spark)
-        links = new if links is None else links.unionByName(new)
-        roots = stored(components(links, "a", "b"))
-    return rows.select("_id", "_h", "_g", "s"), roots.withColumnRenamed("node", "s")
+    rounds.add(buckets.drop("place"), hot, None, None)
+    return rows.select("_id", "_h", "_g", "s"), rounds.roots.withColumnRenamed("node", "s")
 
 
 def _shared(keyed: DataFrame) -> DataFrame:

@@ -619,6 +619,43 @@ def test_large_buckets_that_are_dealt_out_lose_no_group(spark, monkeypatch, spli
     assert named == dict(want)
 
 
+def test_near_dedup_finds_its_groups_by_simhash(spark, monkeypatch):
+    """The rest's buckets are emptied here: what is left is the search over fingerprints."""
+    from brindle.llm import near_sets
+
+    shared = near_sets._shared
+    monkeypatch.setattr(near_sets, "_shared", lambda keyed: shared(keyed.where("false")))
+    made = near_copies()
+    sets = [plain_set(x) for x in made]
+    want = closure(list(range(len(made))), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), **simhash.STAGE).collect()}
+    pairs = [(a, b) for a in range(len(made)) for b in range(a) if want[a] == want[b]]
+    assert len(pairs) > 50 and sum(found[a] == found[b] for a, b in pairs) >= 0.9 * len(pairs)
+    assert all(want[a] == want[b] for a in found for b in found if found[a] == found[b])
+
+
+def test_rings_equal_plain_fingerprints_and_distances():
+    from brindle.llm import near_sets, rings
+
+    hashes = near_sets.shingles(" ".join(f"w{k % 37}-{k % 11}" for k in range(9000)), 5)
+    for found in (hashes, hashes[:1], hashes[:4], hashes[:0]):
+        bits = []
+        for word in range(rings.WORDS):
+            own = [int(x) for x in rings.mixed(found, word)]
+            bits += [2 * sum(x >> k & 1 for x in own) > len(own) for k in range(64)]
+        assert rings.fingerprint(found) == sum(b << k for k, b in enumerate(bits)).to_bytes(rings.BITS // 8, "little")
+    rng = np.random.default_rng(4)
+    prints = [rings.fingerprint(hashes[: 300 + k]) for k in range(40)] + [rng.bytes(rings.BITS // 8) for _ in range(40)]
+    bounds = rings.cuts(len(prints))
+    plain = [[(k << 52) + (int.from_bytes(x, "little") >> a) % (1 << (b - a)) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))] for x in prints]
+    assert rings.segment_keys(prints, bounds).tolist() == plain and bounds[0] == 0 and bounds[-1] == rings.BITS
+    x = np.array([np.frombuffer(a, np.uint64) ^ np.frombuffer(b, np.uint64) for a in prints for b in prints])
+    far = np.bitwise_count(x).sum(axis=1)
+    for radius in (0, 20, rings.radius_for(Fraction(4, 5)), rings.BITS):
+        assert rings.linked(x, radius).tolist() == np.flatnonzero(far <= radius).tolist()
+    assert max(len(rings.cuts(n)) for n in (0, 1, 10**6, 10**9, 10**15)) <= rings.BITS // rings.LEAST + 1
+
+
 def test_near_dedup_tells_rows_apart_that_share_a_doc_id(spark):
     x, y, z, u, v = (" ".join(f"{c}{i}" for i in range(80)) for c in "xyzuv")
     rows = [(None, x), (None, y), (None, y), (1, z), (5, z), (5, u), (5, v), (5, v), (7, v + " more"), (None, u)]
