@@ -10,6 +10,8 @@ hashes, so documents of one set count once.
    |x| - ceil(t |x|) + 1 of each (prefix filtering), so each set goes to the buckets of these, where those meet that the
    first search left in different groups. Any fixed order is right; rare shingles first keep buckets small, so shingles
    that a sample of documents often has come last, by their count there, the others by hash.
+   A sample misses passages that a few documents in a thousand share, so each row of a bucket also bounds what its set can
+   have in common with any other, by the counted shingles that sets of other groups have too (bounded).
 
 Pairs of either kind of bucket are candidates only if their sizes allow the threshold, and the parities of their shingles
 over BITMAP bits (beside fingerprints RING_BITMAP) differ in no more bits than the sets may (a lower bound of their
@@ -30,7 +32,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import rings
@@ -124,23 +126,25 @@ def order_of(docs: DataFrame, n: int, text: str) -> tuple[np.ndarray, np.ndarray
     return late[by], count[by]
 
 
-def compared(s: np.ndarray, size: np.ndarray, root: np.ndarray, side: np.ndarray, bits: np.ndarray, t: Fraction, seed: int | None, radius: int | None) -> Iterator[pa.RecordBatch]:
+def compared(s: np.ndarray, size: np.ndarray, root: np.ndarray, side: np.ndarray, rest: np.ndarray, left: np.ndarray, before: np.ndarray, bits: np.ndarray, t: Fraction, seed: int | None, radius: int | None) -> Iterator[pa.RecordBatch]:
     """(a, b) of one bucket: pairs of different roots that may reach t; of two sides only those across.
 
-    With a radius, bits are a fingerprint and parities, else parities.
+    With a radius, bits are a fingerprint and parities, else parities. rest, left, before: see bounded.
     """
     p, q = t.numerator, t.denominator
     prints, parity = np.split(bits, [0 if radius is None else rings.WORDS], axis=1)
 
-    def across(left: np.ndarray, right: np.ndarray, once: bool = False) -> Iterator[pa.RecordBatch]:
-        step = max(1, CROSS // max(1, len(right) * bits.shape[1]))
-        for h in range(0, len(left), step):
-            x, y = left[h : h + step, None], right[None, :]
-            ok = (root[x] != root[y]) & (np.minimum(size[x], size[y]) * q >= np.maximum(size[x], size[y]) * p)
+    def across(these: np.ndarray, those: np.ndarray, once: bool = False) -> Iterator[pa.RecordBatch]:
+        step = max(1, CROSS // max(1, len(those) * bits.shape[1]))
+        for h in range(0, len(these), step):
+            x, y = these[h : h + step, None], those[None, :]
+            # an intersection of at least (|x| + |y|) t / (1 + t)
+            both = np.maximum(np.minimum(rest[x], left[y]), np.minimum(rest[y], left[x]))
+            ok = (root[x] != root[y]) & (before[x] != before[y]) & (both * (q + p) >= (size[x] + size[y]) * p)
             if once:
                 ok &= s[x] < s[y]
             i, j = np.nonzero(ok)
-            i, j = left[h : h + step][i], right[j]
+            i, j = these[h : h + step][i], those[j]
             if radius is not None:
                 passed = rings.linked(prints[i] ^ prints[j], radius)
                 i, j = i[passed], j[passed]
@@ -171,9 +175,11 @@ def compared(s: np.ndarray, size: np.ndarray, root: np.ndarray, side: np.ndarray
 def candidates(buckets: DataFrame, hot: DataFrame | None, t: Fraction, seed: int | None, radius: int | None = None) -> DataFrame:
     """(a, b), distinct with a < b, of buckets (key, s, size, bits, root): pairs of different roots that may reach t.
 
+    Buckets may have rest, left and before (bounded); else the sizes bound intersections.
     hot: (key, blocks) of the buckets that are dealt out. seed: pairs of every set with one of its bucket or block, which
     follows from the seed; None: all pairs. radius: of the fingerprints that bits begin with, if they do.
     """
+    bounds = [c for c in ("rest", "left", "before") if c in buckets.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -181,6 +187,7 @@ def candidates(buckets: DataFrame, hot: DataFrame | None, t: Fraction, seed: int
         def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             key, part = rows.column("key").to_numpy(), rows.column("part").to_numpy()
             columns = [rows.column(c).to_numpy().astype(np.int64) for c in ("s", "size", "root", "side")]
+            columns += [rows.column(c).to_numpy().astype(np.int64) for c in bounds] or [columns[1], columns[1], columns[0]]
             columns.append(np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(key), -1))
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
             ends = np.r_[starts[1:], len(key)]
@@ -214,7 +221,7 @@ def candidates(buckets: DataFrame, hot: DataFrame | None, t: Fraction, seed: int
         else:
             placed = named.withColumn("part", F.col("side"))
     n = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = placed.select("key", "part", "s", "size", "root", "side", "bits").repartition(n, "key", "part").sortWithinPartitions("key", "part", "s")
+    sorted_rows = placed.select("key", "part", "s", "size", "root", "side", *bounds, "bits").repartition(n, "key", "part").sortWithinPartitions("key", "part", "s")
     return sorted_rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -274,12 +281,15 @@ class Rounds:
         self.rows, self.docs, self.n, self.t, self.text = rows, docs, n, t, text
         self.links, self.roots = None, None
 
+    def rooted(self, sets: DataFrame) -> DataFrame:
+        """sets with the roots of their components so far."""
+        if self.roots is None:
+            return sets.withColumn("root", F.col("s"))
+        return sets.join(self.roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+
     def add(self, sets: DataFrame, hot: DataFrame, seed: int | None, radius: int | None) -> None:
         """Adds the links within buckets between sets (s, size, bits, and key or keys of buckets) that aren't connected."""
-        if self.roots is None:
-            marked = sets.withColumn("root", F.col("s"))
-        else:
-            marked = sets.join(self.roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+        marked = sets if "root" in sets.columns else self.rooted(sets)
         if "keys" in marked.columns:
             marked = marked.withColumn("key", F.explode("keys"))
         pairs = stored(candidates(marked, hot if hot.limit(1).count() else None, self.t, seed, radius))
@@ -321,7 +331,7 @@ def groups(docs: DataFrame, n: int, similarity: float, text: str = "text", split
         rounds.add(keyed, hot, seed, rings.radius_for(t))
 
     sets = rows.select("s", "size", "keys").dropDuplicates(["s"])
-    shared = _shared(sets.select(F.explode("keys").alias("key"), "s", "size"))
+    shared = bounded(rounds.rooted(_shared(sets.select(F.posexplode("keys").alias("at", "key"), "s", "size"))), t)
     bits = rows.select("s", "bits").dropDuplicates(["s"])
     buckets = stored(shared.join(bits.join(shared.select("s").distinct(), "s", "left_semi"), "s"))
     hot = stored(buckets.where(F.col("place") >= split).groupBy("key").agg((F.floor(F.max("place") / split) + 1).alias("blocks")))
@@ -331,11 +341,11 @@ def groups(docs: DataFrame, n: int, similarity: float, text: str = "text", split
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
-    """The rows of keyed (key, s, size) whose key another row has too, with their place among those of the key."""
+    """The rows of keyed (key, s, size, at) whose key another row has too, with their place among those of the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # the last row seen, its place, and whether another has its key: it waits for its successor
-        names = ["key", "s", "size", "place"]
+        names = ["key", "s", "size", "at", "place"]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -349,9 +359,29 @@ def _shared(keyed: DataFrame) -> DataFrame:
             place = np.arange(len(rows)) - starts[run_of] + np.where(run_of == 0, before[1] if before is not None else 0, 0)
             before = rows[-1:], int(place[-1]), bool(keep[-1])
             rows, place = rows[:-1][keep[:-1]], place[:-1][keep[:-1]]
-            yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(3)), pa.array(place)], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(4)), pa.array(place)], names)
         if before is not None and before[2]:
-            yield pa.RecordBatch.from_arrays([*(pa.array(before[0][:, k]) for k in range(3)), pa.array([before[1]])], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(before[0][:, k]) for k in range(4)), pa.array([before[1]])], names)
 
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "key bigint, s bigint, size bigint, place bigint"))
+    rows = keyed.select("key", "s", "size", F.col("at").cast("long")).repartition(n, "key").sortWithinPartitions("key")
+    return stored(rows.mapInArrow(run, "key bigint, s bigint, size bigint, at bigint, place bigint"))
+
+
+def bounded(rooted: DataFrame, t: Fraction) -> DataFrame:
+    """The rows of rooted (key, s, size, at, place, root) whose key sets of another root have too, with rest, left, before.
+
+    at is the key's place in the set's order. Let it be the first shingle that two sets of different roots have in common.
+    Then all they have in common is among the left ones from there on, of each of them. Up to the end of the prefix that
+    ends first, it is in both prefixes, so of that prefix only shingles in such rows count: rest is these from there on and
+    the set's shingles behind its prefix. So the intersection is at most the one's rest and the other's left, for either
+    one. Pairs that share earlier shingles meet in the bucket of the first one, and need not pass in others: they don't
+    where before, the key of the set's row before (its first row has s), is the same too, as that bucket had them.
+    """
+    several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    rows = rooted.join(several, "key", "left_semi")
+    order = Window.partitionBy("s").orderBy("at")
+    later = F.count(F.lit(1)).over(Window.partitionBy("s")) - F.row_number().over(order) + 1
+    behind = F.floor((F.col("size") * t.numerator + (t.denominator - 1)) / t.denominator) - 1
+    before = F.coalesce(F.lag("key").over(order), "s")
+    return stored(rows.select("key", "s", "size", "place", "root", (later + behind).alias("rest"), (F.col("size") - F.col("at")).alias("left"), before.alias("before")))

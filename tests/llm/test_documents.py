@@ -634,6 +634,34 @@ def test_near_dedup_finds_its_groups_by_simhash(spark, monkeypatch):
     assert all(want[a] == want[b] for a in found for b in found if found[a] == found[b])
 
 
+@pytest.mark.parametrize("split", [5, 100_000])
+def test_a_shared_passage_of_long_texts_makes_few_candidates(spark, monkeypatch, split):
+    """Neither fingerprints nor counts of shingles help here: the rest's buckets find every group, without the square of a passage's texts."""
+    from brindle.llm import near_sets, rings
+
+    counts, candidates = [], near_sets.candidates
+
+    def counted(*args):
+        counts.append((found := candidates(*args)).count())
+        return found
+
+    monkeypatch.setattr(near_sets, "candidates", counted)
+    monkeypatch.setattr(near_sets, "order_of", lambda *_: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    monkeypatch.setattr(rings, "radius_for", lambda t: -1)
+    passage = " ".join(f"p{k}" for k in range(100))
+    long = [" ".join([*(f"a{i}-{k}" for k in range(700)), passage, *(f"b{i}-{k}" for k in range(800))]) for i in range(40)]
+    made = [*near_copies(), *long, long[0] + " " + " ".join(f"c{k}" for k in range(300)), " ".join(long[1].split()[60:])]
+    sets = [plain_set(x) for x in made]
+    want = closure(list(range(len(made))), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    rows, roots = near_sets.groups(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), 5, 0.8, split=split)
+    got: dict = {}
+    for r in rows.join(roots, "s", "left").collect():
+        got.setdefault(r.s if r.root is None else r.root, []).append(r._id)
+    assert {k: min(members) for members in got.values() for k in members} == dict(want)
+    own = sum(jaccard(sets[a], sets[b]) >= 0.5 for a in range(len(made)) for b in range(a))
+    assert counts[:-1] == [0] * near_sets.STARS + [0] and counts[-1] <= own + 100  # 40 texts make 780 pairs
+
+
 def test_rings_equal_plain_fingerprints_and_distances():
     from brindle.llm import near_sets, rings
 
